@@ -83,8 +83,11 @@ def preview(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcaster
 
 
 def with_parsed(events: DataFrame) -> DataFrame:
-    """The payload parsed once for all kinds."""
-    return events.withColumn("parsed", J.parsed_payload(F.col("payload")))
+    """The payload parsed once for all kinds.
+
+    The explode of one element keeps the optimizer from copying the parse into every expression that reads it.
+    """
+    return events.select("*", F.explode(F.array(J.parsed_payload(F.col("payload")))).alias("parsed"))
 
 
 def node_or_edge(mappings: dict[str, Mapping]) -> tuple[dict[str, NodeMapping], dict[str, EdgeMapping]]:
