@@ -69,7 +69,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def random_words(seed: int, n: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit words."""
-    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed) * U(0xD1B54A32D192ED03))
+    return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
 _BYTES = random_words(1, 256)
@@ -166,11 +166,11 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int = SH
         first = np.searchsorted(rows, short)
         own = []
         for i, row in zip(first, short):
-            x = U(count[row]) * _PLACE[40]
+            x = np.full(1, count[row], U) * _PLACE[40]
             for j in range(count[row]):
-                x = x + mix(words[i + j : i + j + 1] + _PLACE[j])[0] * _PLACE[j]
+                x = x + mix(words[i + j : i + j + 1] + _PLACE[j]) * _PLACE[j]
             own.append(x)
-        h = np.concatenate([h, mix(np.array(own, U))])
+        h = np.concatenate([h, mix(np.concatenate(own))])
         r = np.concatenate([r, short])
         order = np.argsort(r, kind="stable")
         h, r = h[order], r[order]

@@ -6,12 +6,12 @@ earlier in the same one. Strings are judged on the input.
 1. Anchors. Each SIZE-byte string (window) has as its anchor the 24-byte gram with the least hash in it; equal
    windows have equal anchors. Anchors are about 1 in 39 bytes. They are counted over all documents (each chunk
    of text sends a gram once, so a passage in a third of the documents is counted before the shuffle), and a
-   window with an anchor gram that occurs once in the corpus cannot repeat. Most text ends here.
+   window whose anchor is no other window's anchor anywhere else cannot repeat. Most text ends here.
 2. Shards. The other windows travel as runs that share an anchor, with the bytes they span, to the shard of
    their anchor hash: equal windows meet, each window in one shard. A chunk sends equal runs once.
-3. Per shard, a suffix array by Larsson-Sadakane refinement in numpy (ranks by 8-byte prefixes, doubled to
-   SIZE within the groups that are still unsorted) and common prefixes by Kasai's walk over all runs at once
-   (capped at SIZE). Neighbours with a common prefix of SIZE are equal windows; all but the first are marked.
+3. Per shard, a suffix array by Larsson-Sadakane refinement in numpy (ranks by 7-byte prefixes, doubled
+   within the groups that are still unsorted) and common prefixes by Kasai's walk over all runs at once.
+   Neighbours with a common prefix of SIZE are equal windows; all but the first are marked.
 4. An anchor with more bytes than a shard holds is split into shards of its own by document order, and the
    shards' sorted distinct windows are merged by binary search.
 5. Marked spans return to their documents by doc_id and are united.
@@ -33,7 +33,7 @@ from chronofold.llm.common import RollingHash, Scratch, U, chunks, partitions
 
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM + 1  # anchor places in a window
-SHARD = 1 << 21  # bytes of a shard
+SHARD = 1 << 18  # bytes of a shard: its arrays fit a core's cache
 SEND = 1 << 22  # bytes of text that go out together
 LAST = (1 << 63) - 1
 FOUND = "bucket int, kind int, h binary, d binary, p binary, m binary"
@@ -66,86 +66,97 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(grams == most[: len(grams)]), least, whole
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank): suffixes sorted by their first ``depth`` bytes; equal prefixes have equal ranks.
+def room_of(lengths: np.ndarray) -> np.ndarray:
+    """For runs laid end to end: how many bytes of its run each position has, itself included."""
+    ends = np.cumsum(lengths)
+    return np.repeat(ends, lengths) - np.arange(int(ends[-1]) if len(ends) else 0)
 
-    Larsson-Sadakane: only groups that are still unsorted are sorted again, by the rank of the suffix that
-    starts where the known prefix ends. Beyond the end, bytes count as below all others.
+
+def suffix_array(data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank) of all suffixes, each up to the end of its run; equal suffixes follow their position.
+
+    Larsson-Sadakane: suffixes are sorted by 7 bytes; then only groups that are still unsorted are sorted
+    again, by the rank of the suffix that starts where the known prefix ends, which doubles it.
     """
     n = len(data)
-    wide = np.zeros(n + 8, U)
-    wide[:n] = data.astype(U) + U(1)
     key = np.zeros(n, U)
-    for j in range(7):  # 9 bits each: the end is below byte 0
-        key = (key << U(9)) | wide[j : n + j]
+    for j in range(7):  # 9 bits each: the end of a run is below byte 0
+        symbol = np.zeros(n, U)
+        inside = np.flatnonzero(room > j)
+        symbol[inside] = data[inside + j].astype(U) + U(1)
+        key = (key << U(9)) | symbol
     known = 7
     order = np.argsort(key)
+    sorted_key = key[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = key[order][1:] != key[order][:-1]
+    fresh[1:] = sorted_key[1:] != sorted_key[:-1]
     slot = np.arange(n)
-    rank = np.empty(n + depth, np.int64)
-    rank[n:] = -1
-    rank[order] = np.maximum.accumulate(np.where(fresh, slot, 0))
-    single = fresh & np.append(fresh[1:], True)
-    open_ = np.flatnonzero(~single)
-    while known < depth and len(open_):
-        step = min(known, depth - known)
+    group = np.maximum.accumulate(np.where(fresh, slot, 0))
+    tails = np.flatnonzero(room[order] < known)  # a group holds such tails alone or none
+    at = order[tails]
+    order[tails] = at[np.lexsort((at, group[tails]))]
+    group[tails] = tails
+    rank = np.empty(n, np.int64)
+    rank[order] = group
+    open_ = np.append(group[1:] == group[:-1], False)
+    open_[1:] |= open_[:-1].copy()
+    open_ = np.flatnonzero(open_)
+    while len(open_):
         at = order[open_]
-        key2 = rank[at] * np.int64(n + 1) + (rank[at + step] + 1)
+        # a suffix that ends here comes first, equal ones by position
+        rest = np.where(room[at] > known, rank[np.minimum(at + known, n - 1)], at - n)
+        key2 = rank[at] * np.int64(2 * n) + rest
         by = np.argsort(key2)
         at, key2 = at[by], key2[by]
         order[open_] = at
         fresh = np.ones(len(at), bool)
         fresh[1:] = key2[1:] != key2[:-1]
         rank[at] = open_[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
-        known += step
+        known *= 2
         open_ = open_[~(fresh & np.append(fresh[1:], True))]
-    return order, rank[:n]
+    return order, rank
 
 
-def kasai(data: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix, up to ``cap``, of each listed suffix with the one before it in suffix order.
+def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Common prefix of each listed suffix with the one before it in suffix order.
 
-    ``before[i]``: the predecessor of suffix i, or -1. Runs of ``counts`` suffixes begin at ``starts``; Kasai's
-    walk goes through all runs in step: a suffix shares at least one byte less than the one to its left did.
+    ``before[i]``: the predecessor of suffix i, or -1. ``counts`` suffixes from each of ``starts``: Kasai's walk
+    goes through all runs in step; a suffix shares at least one byte less than the one to its left did.
     """
     out = np.zeros(len(before), np.int32)
-    padded = np.concatenate([data, np.zeros(cap + 1, np.uint8)])
     left = np.zeros(len(starts), np.int64)
     by = np.argsort(-counts, kind="stable")
     starts, counts = starts[by], counts[by]
-    last = len(data)
     for t in range(int(counts[0]) if len(counts) else 0):
         live = int(np.searchsorted(-counts, -t, "left"))
         i = starts[:live] + t
         j = before[i]
+        most = np.where(j >= 0, np.minimum(room[i], room[j]), 0)
         have = np.where(j >= 0, np.maximum(left[:live] - 1, 0), 0)
-        go = np.flatnonzero((j >= 0) & (have < cap))
+        go = np.flatnonzero(have < most)
         while len(go):
-            x, y = i[go] + have[go], j[go] + have[go]
-            same = (padded[x] == padded[y]) & (x < last) & (y < last)
-            go = go[same]
+            go = go[data[i[go] + have[go]] == data[j[go] + have[go]]]
             have[go] += 1
-            go = go[have[go] < cap]
+            go = go[have[go] < most[go]]
         left[:live] = have
         out[i] = have
     return out
 
 
-def first_windows(data: np.ndarray, starts: np.ndarray, counts: np.ndarray, rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_windows(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(window positions in suffix order, place of the earliest equal window of each).
 
-    Runs start at ``starts`` with ``counts`` windows; ``rank_of`` gives the place of every window position in
+    Runs begin at ``begin`` with ``counts`` windows; ``rank_of`` gives the place of every window position in
     corpus order.
     """
-    order, _ = suffix_array(data, SIZE)
-    valid = np.zeros(len(data), bool)
-    valid[_spread(starts, counts)] = True
-    order = order[valid[order]]
+    room = room_of(counts + SIZE - 1)
+    order, _ = suffix_array(data, room)
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
-    common = kasai(data, before, starts, counts, SIZE)[order]
-    heads = np.flatnonzero(common < SIZE)
+    common = kasai(data, room, before, begin, counts)
+    order = order[room[order] >= SIZE]
+    # suffixes between two equal windows have the same prefix and are windows too
+    heads = np.flatnonzero(common[order] < SIZE)
     low = np.minimum.reduceat(rank_of[order], heads)
     return order, np.repeat(low, np.diff(np.append(heads, len(order))))
 
@@ -236,7 +247,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows whose anchors all repeat, with their bytes; a chunk's later equal runs as spans at once."""
+    """Runs of windows whose anchor repeats, with their bytes; a chunk's later equal runs as spans at once."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         spans = batch.column("spans").to_pylist()
@@ -244,18 +255,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(data) - SIZE + 1
             if n <= 0:
                 continue
-            at, least, whole = anchors(data, offsets)
-            known = np.zeros(len(data), bool)
-            for i in range(lo, hi):
-                for x in spans[i] or ():
-                    known[np.frombuffer(x, np.int32) + offsets[i - lo]] = True
-            once = np.zeros(len(data) + 1, np.int32)
-            once[at[~known[at]] + 1] = 1
-            np.cumsum(once, out=once)
-            good = whole & (once[REACH : REACH + n] == once[:n])
-            new = good.copy()
-            new[1:] &= ~good[:-1] | (least[1:] != least[:-1])
-            start = np.flatnonzero(new)
+            _, least, whole = anchors(data, offsets)
+            new = whole.copy()
+            new[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
+            known = [np.frombuffer(x, np.int32) + offsets[i - lo] for i in range(lo, hi) for x in spans[i] or ()]
+            if not known:
+                continue
+            seen = np.unique(RollingHash(data).grams(GRAM)[np.concatenate(known)])
+            first = np.flatnonzero(new)
+            low = least[first]
+            useful = seen[np.minimum(np.searchsorted(seen, low), len(seen) - 1)] == low
+            good = whole & useful[np.cumsum(new) - 1] if len(first) else whole
+            new &= good
+            start = first[useful]
             if not len(start):
                 continue
             tail = good.copy()
