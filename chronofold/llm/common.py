@@ -236,11 +236,10 @@ def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], scratch_r
     n = max(1, total // scratch_rows)
     rows = df.withColumn("_b", F.pmod(F.xxhash64(*order, F.lit(97)), F.lit(n)).cast("int"))
     sums = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    offsets = sums.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offsets = sums.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("_b").alias("_c"), "_o")
     inner = Window.partitionBy(*keys, "_b").orderBy(*order)
     ranked = rows.withColumn("_r", F.row_number().over(inner) - 1)
-    conditions = [ranked[k].eqNullSafe(offsets[k]) for k in keys] + [ranked["_b"] == offsets["_b"]]
-    on = conditions[0]
-    for c in conditions[1:]:
-        on = on & c
-    return ranked.join(offsets, on).select(*[ranked[c] for c in df.columns], (ranked["_r"] + offsets["_o"]).cast("long").alias(name))
+    on = F.col("_b") == F.col("_c")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+    return ranked.join(offsets, on).select(*df.columns, (F.col("_r") + F.col("_o")).cast("long").alias(name))

@@ -236,7 +236,8 @@ def _judge(refs: dict):
 
 
 def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, kept, class_distance, word_distance, and columns to carry.
+    """One row per document: doc_id, the base counts, base_failed, kept, class_distance, word_distance, and the columns to
+    carry under ``carry_<name>``.
 
     ``docs`` has doc_id and text, and lang or not. A null or empty text has no words and fails; repeated rows are
     judged each for itself; an empty table gives no rows.
@@ -246,5 +247,4 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     refs = references(narrow.select("text", "lang"), Scratch(docs.sparkSession))
     extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[3:])
-    out = narrow.mapInArrow(_judge(refs), f"{BASE}, base_failed boolean, kept boolean, class_distance double, word_distance double{extra}")
-    return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
+    return narrow.mapInArrow(_judge(refs), f"{BASE}, base_failed boolean, kept boolean, class_distance double, word_distance double{extra}")

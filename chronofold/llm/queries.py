@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronofold.llm import compression, minhash, projections, quality, suffix
+from chronofold.llm import chat, compression, licenses, minhash, mixing, pieces, projections, quality, sharding, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,11 +21,36 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_sentencepiece(spark, d):
+    return pieces.tokenize(table(spark, d, "documents"))
+
+
+@query
+def op2_balanced_sharding(spark, d):
+    return sharding.shard(table(spark, d, "documents"))
+
+
+@query
+def op3_preference_formatting(spark, d):
+    return chat.preferences(table(spark, d, "conversations"))
+
+
 @query
 def op4_quality_rules(spark, d):
     return quality.judge(table(spark, d, "documents"))
 
 
+@query
+def op5_license_scan(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
+@query
+def op6_temperature_mixing(spark, d):
+    return mixing.mix(table(spark, d, "documents"))
+
+
 @query
 def op7_compression_classifier(spark, d):
     docs = table(spark, d, "documents")
