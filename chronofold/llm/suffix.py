@@ -4,8 +4,8 @@ A byte goes if a ``SIZE``-byte string that covers it also starts earlier: in a d
 earlier in the same one. Strings are judged on the input.
 
 1. Anchors. Each SIZE-byte string (window) has as its anchor the 24-byte gram with the least hash in it; equal
-   windows have equal anchors. Anchors are about 1 in 39 bytes. They are counted over all documents (each chunk
-   of text sends a gram once, so a passage in a third of the documents is counted before the shuffle), and a
+   windows have equal anchors. Anchors are about 1 in 39 bytes. They are counted over all texts (each chunk of
+   text sends a gram once, so a passage in a third of the documents is counted before the shuffle), and a
    window whose anchor is no other window's anchor anywhere else cannot repeat. Most text ends here.
 2. Shards. The other windows travel as runs that share an anchor, with the bytes they span, to the shard of
    their anchor hash: equal windows meet, each window in one shard. A chunk sends equal runs once.
@@ -34,11 +34,13 @@ from chronofold.llm.common import RollingHash, Scratch, U, chunks, partitions
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM + 1  # anchor places in a window
 SHARD = 1 << 18  # bytes of a shard: its arrays fit a core's cache
+SHARDS = 4  # shards' worth of runs that are read before equal ones go
 SEND = 1 << 22  # bytes of text that go out together
 LAST = (1 << 63) - 1
 FOUND = "bucket int, kind int, h binary, d binary, p binary, m binary"
 RUN = "key long, doc long, start int, bytes binary, kind int"
 SPANS = "doc_id long, spans binary"
+PLACES = "text_key long, spans binary"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -167,11 +169,14 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _find(n_buckets: int):
-    """Anchors of a chunk of documents: each gram's first place with a mark if the chunk has more; the other places directly."""
+    """Anchors of a chunk of texts: each gram's first place with a mark if the chunk has more; the other places directly.
+
+    A place is a text key and a position, so copies of a text count once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids = batch.column("text_key").to_numpy()
             h, d, p = [], [], []
             size = 0
             for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -194,8 +199,10 @@ def _send(h: list, d: list, p: list, n_buckets: int) -> Iterator[pa.RecordBatch]
     if not h:
         return
     h, d, p = np.concatenate(h), np.concatenate(d), np.concatenate(p)
-    by = np.argsort(h, kind="stable")
+    by = np.lexsort((p, d, h))
     h, d, p = h[by], d[by], p[by]
+    new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+    h, d, p = h[new], d[new], p[new]
     first = np.append(True, h[1:] != h[:-1])
     many = np.append(~first[1:], False) & first
     repeated = ~first | many
@@ -220,11 +227,11 @@ def _by_doc(d: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     o = np.lexsort((p, d))
     d, p = d[o], p[o]
     cut = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
-    yield pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]]), pa.array([p[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "spans"])
+    yield pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]]), pa.array([p[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["text_key", "spans"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's anchors, those whose gram occurs twice or more: positions by document."""
+    """Of a partition's anchors, those whose gram occurs at two places or more: positions by text."""
     h, d, p, m = [], [], [], []
     for batch in batches:
         for kind, a, b, c, e in zip(*(batch.column(n).to_pylist() for n in ("kind", "h", "d", "p", "m"))):
@@ -238,7 +245,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if h:
         h, d, p, m = np.concatenate(h), np.concatenate(d), np.concatenate(p), np.concatenate(m)
         o = np.argsort(h)
+        keep = np.append(False, h[o][1:] == h[o][:-1])
+        keep[:-1] |= keep[1:]
+        keep |= m[o]  # most grams are alone and go before the places are compared
+        o = o[keep]
+        o = o[np.lexsort((p[o], d[o], h[o]))]
         h, d, p, m = h[o], d[o], p[o], m[o]
+        same = np.append(False, (h[1:] == h[:-1]) & (d[1:] == d[:-1]) & (p[1:] == p[:-1]))
+        m = m.astype(np.int64)
+        if same.any():  # a copy of the text in another chunk; its mark counts
+            at = np.flatnonzero(~same)
+            m = np.maximum.reduceat(m, at)
+            h, d, p = h[at], d[at], p[at]
+        if not len(h):
+            return
         new = np.append(True, h[1:] != h[:-1])
         group = np.cumsum(new) - 1
         twice = np.bincount(group) > 1
@@ -285,9 +305,46 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.where(later, doc, key)), pa.array(doc), pa.array(place), pa.array(texts, pa.binary()), pa.array(later.astype(np.int32))], names=["key", "doc", "start", "bytes", "kind"])
 
 
-def _mark(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the windows of a shard that occur earlier in it, as spans."""
-    at = np.unique(np.stack([doc, start.astype(np.int64)]), axis=1, return_inverse=True)[1].ravel()
+def _mark(key: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, end) of the windows of a shard that occur earlier in it, as spans.
+
+    Of equal runs the earliest is indexed, the others repeat whole. An anchor with one distinct run has nothing
+    to compare, unless its gram occurs twice in the run (periodic text).
+    """
+    size = np.array([len(t) for t in texts])
+    begin = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    rolling = RollingHash(data)
+    body = rolling.ranges(begin, begin + size)
+    by = np.lexsort((start, doc, body))
+    twin = np.append(False, body[by][1:] == body[by][:-1])
+    head = by[np.maximum.accumulate(np.where(twin, 0, np.arange(len(by))))]
+    later = by[twin & ((doc[by] != doc[head]) | (start[by] != start[head]))]
+    out = [(doc[later], start[later].astype(np.int64), start[later] + size[later])]
+    left = np.sort(by[~twin])
+    grams = rolling.grams(GRAM)
+    inside = np.repeat(np.arange(len(texts)), size)[: len(grams)]
+    own = np.bincount(inside[grams == np.repeat(key.view(U), size)[: len(grams)]], minlength=len(texts))
+    _, group = np.unique(key[left], return_inverse=True)
+    left = left[(np.bincount(group)[group] > 1) | (own[left] > 1)]
+    left = left[np.argsort(key[left], kind="stable")]
+    new = np.append(True, key[left][1:] != key[left][:-1])[: len(left)]
+    total = np.cumsum(size[left])
+    cut, last = [0], 0
+    for i in np.flatnonzero(new)[1:]:  # shards end where an anchor does
+        if total[i - 1] - last >= SHARD:
+            cut.append(int(i))
+            last = total[i - 1]
+    for a, b in zip(cut, [*cut[1:], len(left)]):
+        if a < b:
+            out.append(_compared(doc[left[a:b]], start[left[a:b]], [texts[i] for i in left[a:b]]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _compared(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.lexsort((start, doc))
+    at = np.empty(len(by), np.int64)
+    at[by] = np.cumsum(np.append(False, (doc[by][1:] != doc[by][:-1]) | (start[by][1:] != start[by][:-1])))
     size = np.array([len(t) for t in texts])
     counts = size - SIZE + 1
     width = int(counts.max()) + 1
@@ -351,7 +408,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         if texts:
-            doc, a, b = _mark(np.array(docs, np.int64), np.array(starts, np.int32), texts)
+            doc, a, b = _mark(np.array(keys, np.int64), np.array(docs, np.int64), np.array(starts, np.int32), texts)
             yield from _spans(doc, a, b)
 
     for batch in batches:
@@ -359,7 +416,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind:
                 yield from _spans(np.array([doc]), np.array([start]), np.array([start + int.from_bytes(text, "little")]))
                 continue
-            if size >= SHARD and key != keys[-1]:
+            if size >= SHARDS * SHARD and key != keys[-1]:
                 yield from flush()
                 keys, docs, starts, texts, size = [], [], [], [], 0
             keys.append(key)
@@ -414,19 +471,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    names = scratch.cut(base.select("doc_id", F.md5(F.col("text").cast("binary")).alias("md5")))
-    firsts = names.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    copies = names.join(firsts.where("first != last"), "md5").where("doc_id != first").select("doc_id", "md5").distinct()
-    copies = scratch.cut(copies)
-    texts = base.repartition("doc_id")  # one exchange for the three passes over the texts
-    marked = texts.join(copies.withColumnsRenamed({"doc_id": "c_id", "md5": "c_md5"}), (F.col("doc_id") == F.col("c_id")) & (F.md5(F.col("text").cast("binary")) == F.col("c_md5")), "left")
-    fresh = marked.where("c_id is null").select("doc_id", "text")
-    buckets = 4 * n
-    flagged = scratch.cut(fresh.mapInArrow(_find(buckets), FOUND).repartition(n, "bucket").mapInArrow(_repeated, SPANS))
-    places = flagged.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))  # one entry per partition at most
-    runs = fresh.join(places, "doc_id").select("doc_id", "text", "spans").mapInArrow(_runs, RUN)
-    spans = scratch.cut(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS))
+    key = F.xxhash64("text")
+    names = scratch.cut(base.select("doc_id", key.alias("text_key"), F.md5(F.col("text").cast("binary")).alias("md5")))
+    firsts = scratch.cut(names.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("text_key").alias("text_key")))
+    copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select(F.col("doc_id").alias("c_id"), "text_key").distinct()
+    texts = base.repartition("doc_id")  # one exchange for both passes
+    found = base.select(key.alias("text_key"), "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
+    places = found.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
+    places = places.join(firsts, "text_key").select(F.col("first").alias("doc_id"), "text_key", "spans")
+    runs = texts.join(places, "doc_id").where(key == F.col("text_key")).select("doc_id", "text", "spans").mapInArrow(_runs, RUN)
+    spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
     gone = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    whole = marked.join(gone, "doc_id", "left").select("doc_id", "text", "spans", F.col("c_id").isNotNull().alias("copy"))
+    whole = texts.join(gone, "doc_id", "left").join(copies, (F.col("doc_id") == F.col("c_id")) & (key == F.col("text_key")), "left").select("doc_id", "text", "spans", F.col("c_id").isNotNull().alias("copy"))
     out = whole.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

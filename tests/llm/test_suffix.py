@@ -45,9 +45,9 @@ def test_split_anchor(monkeypatch):
     texts = [bytes(rng.randrange(97, 99) for _ in range(rng.randint(5, 30))) + core + bytes(rng.randrange(97, 99) for _ in range(rng.randint(5, 30))) for _ in range(300)]
     texts = [t for t in texts if len(t) >= suffix.SIZE]
     doc, start = np.arange(len(texts)), np.zeros(len(texts), np.int32)
-    want = [x.tolist() for x in suffix._mark(doc, start, texts)]
+    want = [x.tolist() for x in suffix._compared(doc, start, texts)]
     monkeypatch.setattr(suffix, "SHARD", 2000)
-    assert [x.tolist() for x in suffix._mark(doc, start, texts)] == want and len(want[0]) > 10
+    assert [x.tolist() for x in suffix._compared(doc, start, texts)] == want and len(want[0]) > 10
 
 
 def test_edges(spark):
