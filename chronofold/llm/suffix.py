@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,7 @@ from chronofold.llm.common import RollingHash, Scratch, U, chunks, partitions
 
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM + 1  # anchor places in a window
+LANE = 64  # suffixes of a run that are walked in a row
 SHARD = 1 << 18  # bytes of a shard: its arrays fit a core's cache
 SHARDS = 4  # shards' worth of runs that are read before equal ones go
 SEND = 1 << 22  # bytes of text that go out together
@@ -52,20 +55,33 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (w - have)], m[w - have :]) if w > have else m
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions of anchors, least gram hash per window, validity of each window)."""
+@dataclass
+class Anchors:
+    """Of a chunk: hashes of its grams, the least one in each window, which windows lie in one row, and the anchors."""
+
+    rolling: RollingHash
+    grams: np.ndarray
+    least: np.ndarray
+    whole: np.ndarray
+
+    def positions(self) -> np.ndarray:
+        """Grams that are the least of some window."""
+        shown = np.zeros(len(self.least) + 2 * (REACH - 1), U)
+        shown[REACH - 1 : REACH - 1 + len(self.least)] = np.where(self.whole, self.least, U(0))
+        most = ~sliding_min(~shown, REACH)  # the largest minimum among the windows that hold a gram
+        return np.flatnonzero(self.grams == most[: len(self.grams)])
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors | None:
     n = len(data) - SIZE + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, bool)
-    grams = RollingHash(data).grams(GRAM)
-    least = sliding_min(grams, REACH)
+        return None
+    rolling = RollingHash(data)
+    grams = rolling.grams(GRAM)
     whole = np.ones(n, bool)
     for end in offsets[1:-1]:  # a window lies in one row
         whole[max(0, end - SIZE + 1) : end] = False
-    shown = np.where(whole, least, U(0))
-    padded = np.concatenate([np.zeros(REACH - 1, U), shown, np.zeros(REACH - 1, U)])
-    most = ~sliding_min(~padded, REACH)  # the largest minimum among the windows that hold a gram
-    return np.flatnonzero(grams == most[: len(grams)]), least, whole
+    return Anchors(rolling, grams, sliding_min(grams, REACH), whole)
 
 
 def room_of(lengths: np.ndarray) -> np.ndarray:
@@ -119,13 +135,27 @@ def suffix_array(data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, rank
 
 
-def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Common prefix of each listed suffix with the one before it in suffix order.
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position, as one number; zeros beyond the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = wide[: len(data)].astype(U)
+    for j in range(1, 8):
+        out |= wide[j : len(data) + j].astype(U) << U(8 * j)
+    return out
+
+
+def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefix, up to ``cap``, of each listed suffix with the one before it in suffix order.
 
     ``before[i]``: the predecessor of suffix i, or -1. ``counts`` suffixes from each of ``starts``: Kasai's walk
-    goes through all runs in step; a suffix shares at least one byte less than the one to its left did.
+    goes through all runs in step (long ones in pieces of LANE); a suffix shares at least one byte less than the
+    one to its left did, and what comes beyond is compared 8 bytes at a time.
     """
+    pieces = -(-counts // LANE)
+    nth = _spread(np.zeros(len(counts), np.int64), pieces)
+    starts, counts = np.repeat(starts, pieces) + nth * LANE, np.minimum(np.repeat(counts, pieces) - nth * LANE, LANE)
     out = np.zeros(len(before), np.int32)
+    words = words_at(data)
     left = np.zeros(len(starts), np.int64)
     by = np.argsort(-counts, kind="stable")
     starts, counts = starts[by], counts[by]
@@ -133,13 +163,17 @@ def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.nda
         live = int(np.searchsorted(-counts, -t, "left"))
         i = starts[:live] + t
         j = before[i]
-        most = np.where(j >= 0, np.minimum(room[i], room[j]), 0)
+        most = np.where(j >= 0, np.minimum(np.minimum(room[i], room[j]), cap), 0)
         have = np.where(j >= 0, np.maximum(left[:live] - 1, 0), 0)
         go = np.flatnonzero(have < most)
         while len(go):
-            go = go[data[i[go] + have[go]] == data[j[go] + have[go]]]
-            have[go] += 1
-            go = go[have[go] < most[go]]
+            x, y = i[go] + have[go], j[go] + have[go]
+            differ = words[x] ^ words[y]
+            # equal low bytes of the two words: trailing zero bits of their difference, 8 a byte
+            low = differ & (~differ + U(1))
+            equal = np.where(differ == 0, 8, np.log2(np.maximum(low, U(1)).astype(np.float64)).astype(np.int64) // 8)
+            have[go] = np.minimum(have[go] + equal, most[go])
+            go = go[(equal == 8) & (have[go] < most[go])]
         left[:live] = have
         out[i] = have
     return out
@@ -155,7 +189,7 @@ def first_windows(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, rank_
     order, _ = suffix_array(data, room)
     before = np.full(len(data), -1, np.int64)
     before[order[1:]] = order[:-1]
-    common = kasai(data, room, before, begin, counts)
+    common = kasai(data, room, before, begin, counts, SIZE)
     order = order[room[order] >= SIZE]
     # suffixes between two equal windows have the same prefix and are windows too
     heads = np.flatnonzero(common[order] < SIZE)
@@ -180,10 +214,11 @@ def _find(n_buckets: int):
             h, d, p = [], [], []
             size = 0
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                at, _, _ = anchors(data, offsets)
-                row = np.searchsorted(offsets, at, "right") - 1
-                if len(at):
-                    h.append(RollingHash(data).grams(GRAM)[at])
+                got = anchors(data, offsets)
+                if got is not None:
+                    at = got.positions()
+                    row = np.searchsorted(offsets, at, "right") - 1
+                    h.append(got.grams[at])
                     d.append(ids[lo:hi][row])
                     p.append((at - offsets[row]).astype(np.int32))
                 size += len(data)
@@ -270,18 +305,20 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose anchor repeats, with their bytes; a chunk's later equal runs as spans at once."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
-        spans = batch.column("spans").to_pylist()
+        own = pc.equal(batch.column("text_key"), batch.column("place_key"))
+        spans = pc.if_else(pc.fill_null(own, False), batch.column("spans"), None).to_pylist()
         for lo, hi, data, offsets in chunks(batch.column("text"), SEND):
             n = len(data) - SIZE + 1
             if n <= 0:
                 continue
-            _, least, whole = anchors(data, offsets)
-            new = whole.copy()
-            new[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
             known = [np.frombuffer(x, np.int32) + offsets[i - lo] for i in range(lo, hi) for x in spans[i] or ()]
             if not known:
                 continue
-            seen = np.unique(RollingHash(data).grams(GRAM)[np.concatenate(known)])
+            got = anchors(data, offsets)
+            least, whole = got.least, got.whole
+            new = whole.copy()
+            new[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
+            seen = np.unique(got.grams[np.concatenate(known)])
             first = np.flatnonzero(new)
             low = least[first]
             useful = seen[np.minimum(np.searchsorted(seen, low), len(seen) - 1)] == low
@@ -296,7 +333,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.searchsorted(offsets, start, "right") - 1
             key, doc, place = least[start].view(np.int64), ids[lo:hi][row], (start - offsets[row]).astype(np.int32)
             # equal runs of this chunk: the earliest goes on, the others are known to repeat
-            body = RollingHash(data).ranges(start, end)
+            body = got.rolling.ranges(start, end)
             o = np.lexsort((place, doc, body))
             later = np.zeros(len(o), bool)
             later[o[1:]] = (body[o][1:] == body[o][:-1]) & ((doc[o][1:] != doc[o][:-1]) | (place[o][1:] != place[o][:-1]))
@@ -412,10 +449,13 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _spans(doc, a, b)
 
     for batch in batches:
-        for key, doc, start, text, kind in zip(*(batch.column(n).to_pylist() for n in ("key", "doc", "start", "bytes", "kind"))):
-            if kind:
-                yield from _spans(np.array([doc]), np.array([start]), np.array([start + int.from_bytes(text, "little")]))
-                continue
+        settled = batch.filter(pc.equal(batch.column("kind"), 1))
+        if settled.num_rows:
+            a = settled.column("start").to_numpy().astype(np.int64)
+            n = np.frombuffer(b"".join(settled.column("bytes").to_pylist()), "<u4")
+            yield from _spans(settled.column("doc").to_numpy(), a, a + n)
+        batch = batch.filter(pc.equal(batch.column("kind"), 0))
+        for key, doc, start, text in zip(*(batch.column(n).to_pylist() for n in ("key", "doc", "start", "bytes"))):
             if size >= SHARDS * SHARD and key != keys[-1]:
                 yield from flush()
                 keys, docs, starts, texts, size = [], [], [], [], 0
@@ -471,17 +511,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.xxhash64("text")
-    names = scratch.cut(base.select("doc_id", key.alias("text_key"), F.md5(F.col("text").cast("binary")).alias("md5")))
+    base = base.withColumn("text_key", F.xxhash64("text"))
+    names = scratch.cut(base.select("doc_id", "text_key", F.md5(F.col("text").cast("binary")).alias("md5")))
     firsts = scratch.cut(names.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("text_key").alias("text_key")))
-    copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select(F.col("doc_id").alias("c_id"), "text_key").distinct()
-    texts = base.repartition("doc_id")  # one exchange for both passes
-    found = base.select(key.alias("text_key"), "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
+    copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
+    # one exchange for both passes: left joins alone, so that nothing is pushed below it in one of them
+    texts = base.repartition("doc_id")
+    found = base.select("text_key", "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
     places = found.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
-    places = places.join(firsts, "text_key").select(F.col("first").alias("doc_id"), "text_key", "spans")
-    runs = texts.join(places, "doc_id").where(key == F.col("text_key")).select("doc_id", "text", "spans").mapInArrow(_runs, RUN)
+    places = places.join(firsts, "text_key").select(F.col("first").alias("doc_id"), F.col("text_key").alias("place_key"), "spans")
+    runs = texts.join(places, "doc_id", "left").select("doc_id", "text", "text_key", "place_key", "spans").mapInArrow(_runs, RUN)
     spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
     gone = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    whole = texts.join(gone, "doc_id", "left").join(copies, (F.col("doc_id") == F.col("c_id")) & (key == F.col("text_key")), "left").select("doc_id", "text", "spans", F.col("c_id").isNotNull().alias("copy"))
+    whole = texts.join(gone, "doc_id", "left").join(copies, (F.col("doc_id") == F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left").select("doc_id", "text", "spans", F.col("c_id").isNotNull().alias("copy"))
     out = whole.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

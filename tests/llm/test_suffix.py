@@ -70,7 +70,9 @@ def test_parts():
     assert [full(i) for i in order] == sorted(full(i) for i in range(500)) and rank[order].tolist() == list(range(500))
     before = np.full(500, -1)
     before[order[1:]] = order[:-1]
-    got = kasai(data, room, before, np.cumsum(runs) - runs, runs)
+    got = kasai(data, room, before, np.cumsum(runs) - runs, runs, 500)
+    capped = kasai(data, room, before, np.cumsum(runs) - runs, runs, 9)
+    assert capped.tolist() == np.minimum(got, 9).tolist()
     common = lambda a, b: next((k for k, (x, y) in enumerate(zip(raw[a : end[a]], raw[b : end[b]])) if x != y), min(room[a], room[b]))
     assert all(got[i] == (0 if before[i] < 0 else common(i, before[i])) for i in range(500))
     x = rng.integers(0, 99, 200)
