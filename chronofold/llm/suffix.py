@@ -307,7 +307,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id").to_numpy()
         own = pc.equal(batch.column("text_key"), batch.column("place_key"))
         spans = pc.if_else(pc.fill_null(own, False), batch.column("spans"), None).to_pylist()
-        for lo, hi, data, offsets in chunks(batch.column("text"), SEND):
+        for lo, hi, data, offsets in chunks(batch.column("text")):
             n = len(data) - SIZE + 1
             if n <= 0:
                 continue
@@ -522,7 +522,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     places = places.join(firsts, "text_key").select(F.col("first").alias("doc_id"), F.col("text_key").alias("place_key"), "spans")
     runs = texts.join(places, "doc_id", "left").select("doc_id", "text", "text_key", "place_key", "spans").mapInArrow(_runs, RUN)
     spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
-    gone = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"))
-    whole = texts.join(gone, "doc_id", "left").join(copies, (F.col("doc_id") == F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left").select("doc_id", "text", "spans", F.col("c_id").isNotNull().alias("copy"))
+    # spans and copy marks come together, so that the texts are joined once, by doc_id alone
+    marks = spans.select("doc_id", "spans", F.lit(None).cast("long").alias("c_key")).unionByName(copies.select(F.col("c_id").alias("doc_id"), F.lit(None).cast("binary").alias("spans"), "c_key"))
+    gone = marks.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.collect_list("c_key").alias("c_keys"))
+    whole = texts.join(gone, "doc_id", "left").select("doc_id", "text", "spans", F.coalesce(F.array_contains("c_keys", F.col("text_key")), F.lit(False)).alias("copy"))
     out = whole.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
