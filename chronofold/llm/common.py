@@ -38,7 +38,7 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "lz4_raw").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *dfs: DataFrame) -> None:

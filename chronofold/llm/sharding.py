@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, bucketed_rank
 
-SHARDS, ROUNDS = 40, 5
+SHARDS, ROUNDS = 40, 3
 
 
 def quotas(total: int, shards: int) -> list[int]:
