@@ -223,7 +223,7 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return scratch.cut(out) if len(steps) > 1 else out
 
 
-def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], scratch_rows: int = 4096, name: str = "rank") -> DataFrame:
+def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], scratch_rows: int = 1024, name: str = "rank") -> DataFrame:
     """Adds a gapless rank from 0 within ``keys`` in the order of ``order`` buckets, without one task per key.
 
     Rows fall into hash buckets of their order columns; ranks are counted per (key, bucket) and offset by
