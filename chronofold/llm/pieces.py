@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import RollingHash, chunks
-from chronofold.llm.suffix import room_of, suffix_array
+from chronofold.llm.suffix import prefix_keys, room_of, suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁".encode()
-BATCH = 1 << 22
+BATCH = 1 << 20  # bytes of text that are indexed together: bounds a worker's memory
 LONG = 48  # characters of a word from which it is relaxed with a heap
-KEY = 7  # bytes of a search key
+KEY = 7  # bytes of a search key, as in prefix_keys
 
 
 @dataclass(frozen=True)
@@ -59,15 +59,6 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(tuple(text), rank, byte_id, np.array(sorted(normal, key=lambda i: text[i]), np.int32))
 
 
-def _keys(data: np.ndarray, room: np.ndarray) -> np.ndarray:
-    """KEY bytes at each position, 9 bits each; the end of a word is below byte 0."""
-    out = np.zeros(len(data), np.uint64)
-    wide = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(KEY, np.uint64)])
-    for j in range(KEY):
-        out = (out << np.uint64(9)) | np.where(room > j, wide[j : len(data) + j], np.uint64(0))
-    return out
-
-
 @lru_cache(2)
 def _piece_keys(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(lower keys, upper keys, lengths) of the normal pieces, one row per KEY bytes."""
@@ -90,8 +81,8 @@ def occurrences(data: np.ndarray, room: np.ndarray, path: str) -> tuple[np.ndarr
     """Edges (start, length, id) of every piece in the words, sorted by start and length."""
     v = load(path)
     lower, upper, length = _piece_keys(path)
-    order, _ = suffix_array(data, room)
-    keys = _keys(data, room)
+    keys = prefix_keys(data, room)
+    order, _ = suffix_array(data, room, keys)
     n = len(data)
 
     def search(bound: np.ndarray, right: bool) -> np.ndarray:

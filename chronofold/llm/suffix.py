@@ -90,19 +90,25 @@ def room_of(lengths: np.ndarray) -> np.ndarray:
     return np.repeat(ends, lengths) - np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def suffix_array(data: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(data: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The first 7 bytes of each suffix, 9 bits each; the end of a run is below byte 0."""
+    out = np.zeros(len(data), U)
+    wide = np.concatenate([data, np.zeros(7, np.uint8)]).astype(U)
+    wide += U(1)
+    for j in range(7):
+        out <<= U(9)
+        out |= wide[j : len(data) + j] * (room > j)
+    return out
+
+
+def suffix_array(data: np.ndarray, room: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of all suffixes, each up to the end of its run; equal suffixes follow their position.
 
     Larsson-Sadakane: suffixes are sorted by 7 bytes; then only groups that are still unsorted are sorted
     again, by the rank of the suffix that starts where the known prefix ends, which doubles it.
     """
     n = len(data)
-    key = np.zeros(n, U)
-    for j in range(7):  # 9 bits each: the end of a run is below byte 0
-        symbol = np.zeros(n, U)
-        inside = np.flatnonzero(room > j)
-        symbol[inside] = data[inside + j].astype(U) + U(1)
-        key = (key << U(9)) | symbol
+    key = prefix_keys(data, room) if key is None else key
     known = 7
     order = np.argsort(key)
     sorted_key = key[order]
