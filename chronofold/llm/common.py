@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-#: Text bytes that are worked on at once.
-CHUNK = 1 << 20
+#: Text bytes that are worked on at once: arrays of it fit a core's cache, and two workers' memory stays small.
+CHUNK = 1 << 19
 SHINGLE = 5
 
 
@@ -81,16 +81,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-@lru_cache(4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _P, U), np.full(n, _P_INV, U)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_TABLE: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(size)
+    """Powers of the base and of its inverse, n at least; one table is kept, the largest of those for usual chunks."""
+    if _TABLE and len(_TABLE[0]) >= n:
+        return _TABLE[0], _TABLE[1]
+    up, down = np.full(max(n, 2 * CHUNK), _P, U), np.full(max(n, 2 * CHUNK), _P_INV, U)
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if len(up) <= 8 * CHUNK:
+        _TABLE[:] = [up, down]
+    return up, down
 
 
 class RollingHash:
