@@ -30,7 +30,7 @@ from chronofold.llm.common import Scratch, U, components, mix, random_words, shi
 
 COORDINATES, MATCHES, SMALL, PIVOT_ROUNDS, MEMBERS = 96, 70, 8, 2, 256
 _A, _B = random_words(11, COORDINATES) | U(1), random_words(12, COORDINATES)
-SIGNED = "doc_id long, n_shingles long, cid long, sig array<int>"
+SIGNED = "doc_id long, n_shingles long, cid long, sig array<int>, text_key long"
 
 
 def fingerprint(s: np.ndarray) -> int:
@@ -61,8 +61,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, row in zip(full, got):
                     sig[i], cid[i] = row, fingerprint(sets[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "cid", "sig"],
+                [batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cid, pa.int64()), pa.array(sig, pa.list_(pa.int32())), batch.column("text_key").slice(lo, n)],
+                names=["doc_id", "n_shingles", "cid", "sig", "text_key"],
             )
 
 
@@ -150,7 +150,7 @@ class _Linker:
         self.scratch, self.percent = scratch, percent
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.docs = texts
-        self.signed = scratch.cut(texts.mapInArrow(_sign, SIGNED))
+        self.signed = scratch.cut(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sign, SIGNED))
         self.classes = scratch.cut(self.signed.where("cid is not null").groupBy("cid").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id")))
         self.postings = scratch.cut(self._postings())
         self.texts: DataFrame | None = None
@@ -254,7 +254,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), text_key (hash of its text), kept.
 
     ``docs`` has doc_id and text; other columns are ignored. Null or empty texts link with nothing and stay.
     Rows with equal texts are linked, rows of one doc_id count as rows of their own; a null doc_id is never the
@@ -266,8 +266,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = linker.classes.select("cid", "doc_id").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     low = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = classes.join(low, "root").select("cid", "component_id")
-    signed = linker.signed.select("doc_id", "n_shingles", "cid")
-    linked = signed.where("cid is not null").join(named, "cid").select("doc_id", "n_shingles", "component_id")
-    out = linked.unionByName(signed.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    signed = linker.signed.select("doc_id", "n_shingles", "cid", "text_key")
+    linked = signed.where("cid is not null").join(named, "cid").select("doc_id", "n_shingles", "component_id", "text_key")
+    out = linked.unionByName(signed.where("cid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 

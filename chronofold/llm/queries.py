@@ -59,7 +59,7 @@ def op7_compression_classifier(spark, d):
 
 @query
 def op8_minhash_near_dedup(spark, d):
-    return minhash.near_duplicates(table(spark, d, "documents"))
+    return minhash.near_duplicates(table(spark, d, "documents")).drop("text_key")
 
 
 @query

@@ -17,9 +17,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (of repeated rows of it, one)."""
-    out = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id (of repeated rows of it, one).
+
+    Rows are told apart by id and text, so that two texts under one id are judged each for itself.
+    """
+    rows = minhash.near_duplicates(docs).groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    out = Scratch(spark).cut(rows.where("not kept or n > 1").select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "kept"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_key"))
+    rest, again = docs.join(out, on, "left_anti").select(*COLUMNS), out.where("kept")
+    if not again.limit(1).count():
+        return rest
+    once = docs.join(again, on).dropDuplicates(["near_id", "near_key"])
+    return rest.unionByName(once.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

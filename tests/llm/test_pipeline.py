@@ -26,3 +26,13 @@ def test_stages_against_brute_force(spark):
     assert set(Counter(r.doc_id for r in s4)) == want and max(Counter(r.doc_id for r in s4).values()) <= 3
     out = cp.run(spark, D).collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in s4) and all(r.round_trip for r in out)
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """Two texts under one id, repeated rows, a null id, null and empty texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (1, a), (2, b), (3, a), (3, c), (4, b), (None, b), (None, c), (5, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, D).collect()), key=repr)
+    assert got == sorted([(1, a), (2, b), (3, c), (5, None), (6, "")], key=repr)
+    assert cp.near_dedup(spark, docs.where("false"), D).count() == 0
