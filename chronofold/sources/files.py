@@ -78,6 +78,13 @@ def directory_stream(spark: SparkSession, path: str, files_per_trigger: int = 10
     return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.{json,ndjson,jsonl}").load(path).select("value", F.col("_metadata.file_name").alias("position"), F.col("_metadata.file_block_start").alias("block"))
 
 
+def numbered_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, source_id: str = "stream") -> DataFrame:
+    """Unbounded directory source with line numbers, as the stateful fold needs them. A file is one row first, so it must fit a task."""
+    whole = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.{json,ndjson,jsonl}").load(path)
+    lines = whole.select(F.col("_metadata.file_name").alias("position"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    return lines.select("value", F.lit(source_id).alias("source_id"), "position", F.col("line_no").cast("long").alias("line_no"), F.lit(0).cast("long").alias("batch_id"))
+
+
 def stdin_lines(spark: SparkSession, stream: Iterable[str] | None = None, source_id: str = "stdin", batch_id: int = 0) -> DataFrame:
     """Lines of stdin; the position is the zero-padded line index, blank lines use one up."""
     rows = [(x.rstrip("\n"), source_id, f"{i:012d}", i, batch_id) for i, x in enumerate(sys.stdin if stream is None else stream)]

@@ -60,7 +60,7 @@ class FoldProcessor(StatefulProcessor):
 
 
 def stateful_fold(writes: DataFrame) -> DataFrame:
-    """Streaming FOLD_IN rows to one outcome row per event. Needs the RocksDB state store."""
+    """Streaming FOLD_IN rows (of ``numbered_stream`` envelopes) to one outcome row per event. Needs the RocksDB state store."""
     return writes.groupBy("adapter_id", "target", "entity_key").transformWithStateInPandas(FoldProcessor(), outputStructType=LIVE_OUT, outputMode="Append", timeMode="None")
 
 
