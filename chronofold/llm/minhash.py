@@ -1,12 +1,12 @@
 """Near duplicates by MinHash signatures and a signature-coordinate inverted join.
 
 Every document's set of 5-word shingles gets a signature of ``COORDINATES`` minima. A document is posted
-under its (coordinate, value) pairs; two sets with Jaccard similarity 0.85 agree on a coordinate with
-probability 0.85, so they collide in at least ``MATCHES`` of the coordinates with probability over 0.999.
+under its (coordinate, value) pairs; two sets with Jaccard similarity p agree on a coordinate with probability p,
+so at the asked similarity they collide in at least ``matches`` of the coordinates with probability ``RECALL`` or more.
 
-* Values that only one set has are dropped; a set with fewer than MATCHES shared values links with nothing.
-* Prefix: a set's shared values are ordered rarest first. Two sets that agree on MATCHES of them agree on one
-  among the first ``shared - MATCHES + 1`` of each, so only these are posted; the long lists of frequent
+* Values that only one set has are dropped; a set with fewer than ``matches`` shared values links with nothing.
+* Prefix: a set's shared values are ordered rarest first. Two sets that agree on ``matches`` of them agree on one
+  among the first ``shared - matches + 1`` of each, so only these are posted; the long lists of frequent
   values (templates, common passages) are skipped and only looked at when collisions are counted.
 * Lists of up to ``SMALL`` members give all their pairs. A longer list is a group of near copies: its members
   are compared with a pivot, verified links are joined to components, and only members that are still in
@@ -20,6 +20,7 @@ Texts with equal shingle sets are one class (64-bit set fingerprint), so copies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,21 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, U, components, mix, random_words, shingle_sets
 
-COORDINATES, MATCHES, SMALL, PIVOT_ROUNDS, MEMBERS = 96, 70, 8, 2, 256
+COORDINATES, RECALL, SMALL, PIVOT_ROUNDS, MEMBERS = 96, 0.999, 8, 2, 256
 _A, _B = random_words(11, COORDINATES) | U(1), random_words(12, COORDINATES)
 SIGNED = "doc_id long, n_shingles long, cid long, sig array<int>, text_key long"
 
 
+def matches(percent: int) -> int:
+    """Collisions that a pair at the similarity reaches with probability RECALL, by the binomial law: 70 at 85, 64 at 80."""
+    p, tail = percent / 100, 0.0
+    for m in range(COORDINATES, 1, -1):
+        tail += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if tail >= RECALL:
+            return m
+    return 1
+
+
 def fingerprint(s: np.ndarray) -> int:
     """Of a sorted shingle set."""
     with np.errstate(over="ignore"):
@@ -96,6 +107,7 @@ def _confirm(percent: int):
 
 def _compare(percent: int):
     """Streams rows by (key, bi, bj), two blocks of a list, and gives the links between their components."""
+    enough = matches(percent)
 
     def links(key: int, bi: int, bj: int, rows: list[tuple]) -> list[tuple[int, int]]:
         _, _, _, cid, root, sig, p, blk, text = zip(*rows)
@@ -107,7 +119,7 @@ def _compare(percent: int):
         same = np.zeros((len(left), len(right)), np.int16)
         for k in range(COORDINATES):
             same += sig[left, k][:, None] == sig[right, k][None, :]
-        ok = (same >= MATCHES) & (root[left][:, None] != root[right][None, :])
+        ok = (same >= enough) & (root[left][:, None] != root[right][None, :])
         ok &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
         ok &= (cid[left][:, None] < cid[right][None, :]) if bi == bj else (cid[left][:, None] != cid[right][None, :])
         if not ok.any():
@@ -147,7 +159,7 @@ def _compare(percent: int):
 
 class _Linker:
     def __init__(self, docs: DataFrame, percent: int, scratch: Scratch):
-        self.scratch, self.percent = scratch, percent
+        self.scratch, self.percent, self.matches = scratch, percent, matches(percent)
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.docs = texts
         self.signed = scratch.cut(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(_sign, SIGNED))
@@ -166,13 +178,13 @@ class _Linker:
         shared = posts.groupBy("key").agg(F.count("*").alias("freq")).where("freq > 1")
         own = posts.join(shared, "key").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("p"))  # COORDINATES entries at most
         central = F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["freq"])
-        cut = own.where(F.size("p") >= MATCHES).select("cid", central.alias("central"), F.transform(F.slice("p", F.lit(1), F.size("p") - (MATCHES - 1)), lambda x: x["key"]).alias("p"))
+        cut = own.where(F.size("p") >= self.matches).select("cid", central.alias("central"), F.transform(F.slice("p", F.lit(1), F.size("p") - (self.matches - 1)), lambda x: x["key"]).alias("p"))
         return cut.select(F.explode("p").alias("key"), "cid", "central", "p")
 
     def _alike(self) -> Column:
-        """Sizes allow the similarity and signatures collide in MATCHES coordinates."""
+        """Sizes allow the similarity and signatures collide in enough coordinates."""
         same = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (same >= MATCHES)
+        return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (same >= self.matches)
 
     def _agree(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))

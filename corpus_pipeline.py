@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronofold.llm import minhash, mixing, pieces, quality, suffix
 from chronofold.llm.common import Scratch
 
+#: Jaccard similarity, in percent, from which texts are near copies. The 85 of op8 is the contract of that query alone.
+NEAR = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -21,7 +23,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are told apart by id and text, so that two texts under one id are judged each for itself.
     """
-    rows = minhash.near_duplicates(docs).groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    rows = minhash.near_duplicates(docs, percent=NEAR).groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     out = Scratch(spark).cut(rows.where("not kept or n > 1").select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "kept"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_key"))
     rest, again = docs.join(out, on, "left_anti").select(*COLUMNS), out.where("kept")

@@ -1,8 +1,9 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as cp
 from chronofold.llm import quality
-from tests.llm.brute import near, repeats
+from tests.llm.brute import near, repeats, shingles
 
 D = "/root/testdata/sf0.001"
 
@@ -36,3 +37,43 @@ def test_near_dedup_of_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, D).collect()), key=repr)
     assert got == sorted([(1, a), (2, b), (3, c), (5, None), (6, "")], key=repr)
     assert cp.near_dedup(spark, docs.where("false"), D).count() == 0
+
+
+def test_near_dedup_takes_pairs_from_80_percent(spark):
+    """Pairs planted between 0.80 and 0.85, some above and some below, among the given texts."""
+    rng = random.Random(8)
+    texts, between = [], 0
+    for i in range(160):
+        w = [f"v{rng.randint(0, 5000)}" for _ in range(120)]
+        x = list(w)
+        for at in rng.sample(range(4, 116), 3 + i % 2)[:2] if i % 8 else range(10, 110, 25):
+            x[at] = "changed"
+        for at in range(2 + i % 3):
+            x[at] = "edge"
+        a, b = shingles(" ".join(w)), shingles(" ".join(x))
+        between += 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+        texts += [" ".join(w), " ".join(x)]
+    assert between > 40
+    rows = list(enumerate(texts)) + [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d for d, _, _, kept in near(rows, 80) if kept}
+    assert want < {d for d, _, _, kept in near(rows) if kept}
+    assert {r.doc_id for r in cp.near_dedup(spark, docs, D).collect()} == want
+
+
+def test_stages_after_near_copies_from_80_percent(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    s1 = cp.quality_rules(spark, docs, D)
+    want = {d for d, _, _, kept in near([(r.doc_id, r.text) for r in s1.collect()], 80) if kept}
+    s2 = cp.near_dedup(spark, s1, D)
+    assert {r.doc_id for r in s2.collect()} == want and s2.columns == docs.columns
+    s3 = cp.suffix_dedup(spark, s2, D).collect()
+    gone = repeats([(d, rows[d].text) for d in want])
+    assert {r.doc_id for r in s3} == want
+    for r in s3:
+        n, removed, _, _ = gone[r.doc_id]
+        assert (r.text == rows[r.doc_id].text) == (removed == 0) and n - removed - 8 <= len(r.text.encode()) <= n - removed
+    s4 = cp.mix_sources(spark, spark.createDataFrame(s3), D).collect()
+    out = cp.run(spark, D).collect()
+    assert set(Counter(r.doc_id for r in s4)) == want and Counter(r.doc_id for r in out) == Counter(r.doc_id for r in s4)
