@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case (bytes beyond ASCII count as
 is looked for in windows of W >= 2.5 L shingles that overlap by half, so any copy of it lies whole in one window. A
 window that holds 0.8 of a template has a Jaccard similarity of 0.15 or more with it, and agrees on one of the ``BANDS``
 single-row bands with probability over 0.9999. Retrieved templates are verified by the exact share of their distinct
-shingles in the window. Texts without a single template shingle are passed over; they cannot match.
+shingles in the window. Texts without a single template shingle are passed over; they cannot match. A template of under
+five words is one shingle of all its words, looked for among the shingles of that width.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from chronofold.llm.common import LOWER, RollingHash, U, chunks, random_words, s
 
 BANDS, CONTAINED = 64, 0.8
 _A, _B = random_words(21, BANDS) | U(1), random_words(22, BANDS)
+WIDTH = 5
 NOT_WORD = np.ones(256, bool)
 NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -42,23 +44,25 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "all-rights-reserved": "All rights reserved by the authors.",
 }
+#: Lines that do not name a license. The query looks for them too; scan() does where they are given.
+LINES = {"all-rights-reserved-line": "All rights reserved."}
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     s, e, row = word_bounds(np.where(NOT_WORD[data], np.uint8(32), data), offsets)
-    return shingle_hashes(RollingHash(data).ranges(s, e) if len(s) else np.zeros(0, U), row, rows)
+    return RollingHash(data).ranges(s, e) if len(s) else np.zeros(0, U), row
 
 
 class Index:
-    """Templates by window size: distinct shingles and band values."""
+    """Templates of one shingle width by window size: distinct shingles and band values."""
 
-    def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
+    def __init__(self, templates: dict[str, np.ndarray], width: int):
+        self.names, self.width = sorted(templates), width
         self.sets, self.bands, self.window = [], [], []
         for n in self.names:
-            raw = np.frombuffer(templates[n].encode(), np.uint8)
-            s = np.unique(_shingles(raw, np.array([0, len(raw)]), 1)[0])
+            words = templates[n]
+            s = np.unique(shingle_hashes(words, np.zeros(len(words), np.int64), 1, width)[0])
             self.sets.append(s)
             self.bands.append((s[:, None] * _A + _B).min(0))
             self.window.append(2 << int(np.ceil(np.log2(1.25 * len(s) + 1))))
@@ -78,7 +82,7 @@ class Index:
                     at = a + np.flatnonzero(np.isin(h[a:b], self.sets[t]))
                     share = len(np.unique(h[at])) / len(self.sets[t])
                     if share >= CONTAINED:
-                        found[self.names[t], int(at[0]), int(at[-1]) + 5] = share
+                        found[self.names[t], int(at[0]), int(at[-1]) + self.width] = share
         # a copy is in two windows: spans of one template that overlap are one, at the best containment
         out: list[tuple[str, int, int, float]] = []
         for (t, a, b), share in sorted(found.items()):
@@ -90,22 +94,29 @@ class Index:
 
 
 @lru_cache(4)
-def _index(items: tuple) -> Index:
-    return Index(dict(items))
+def _indexes(items: tuple) -> list[Index]:
+    by: dict[int, dict[str, np.ndarray]] = {}
+    for name, text in items:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        words = _words(raw, np.array([0, len(raw)]))[0]
+        by.setdefault(min(WIDTH, len(words)), {})[name] = words
+    return [Index(x, k) for k, x in sorted(by.items()) if k]
 
 
 def _scan(items: tuple):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(items)
+        indexes = _indexes(items)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = []
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                h, r = _shingles(data, offsets, hi - lo)
-                hit = index.every[np.minimum(np.searchsorted(index.every, h), len(index.every) - 1)] == h
-                for row in np.unique(r[hit]):
-                    a, b = np.searchsorted(r, [row, row + 1])
-                    out += [(ids[lo + row], *x) for x in index.scan(h[a:b])]
+                words, own = _words(data, offsets)
+                for index in indexes:
+                    h, r = shingle_hashes(words, own, hi - lo, index.width)
+                    hit = index.every[np.minimum(np.searchsorted(index.every, h), len(index.every) - 1)] == h
+                    for row in np.unique(r[hit]):
+                        a, b = np.searchsorted(r, [row, row + 1])
+                        out += [(ids[lo + row], *x) for x in index.scan(h[a:b])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "license", "word_start", "word_end", "containment"])
 

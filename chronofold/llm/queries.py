@@ -43,7 +43,7 @@ def op4_quality_rules(spark, d):
 
 @query
 def op5_license_scan(spark, d):
-    return licenses.scan(table(spark, d, "documents"))
+    return licenses.scan(table(spark, d, "documents"), licenses.TEMPLATES | licenses.LINES)
 
 
 @query

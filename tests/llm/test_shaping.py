@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -131,6 +132,26 @@ def test_licenses(spark):
     assert {(r.doc_id, r.license) for r in licenses.scan(odd).collect()} == {(None, "MIT-statement"), (3, "MIT-statement")} and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_licenses_under_five_words(spark):
+    from chronofold.llm.queries import QUERIES
+
+    tokens = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").lower().encode())
+
+    def places(t, line):
+        w, x = tokens(t), tokens(line)
+        return {(i, i + len(x)) for i in range(len(w) - len(x) + 1) if w[i : i + len(x)] == x}
+
+    rows = spark.read.parquet(f"{D}/documents.parquet").collect()
+    want = {(r.doc_id, *p) for r in rows for p in places(r.text, "All rights reserved.")}
+    got = [r for r in QUERIES["op5_license_scan"](spark, D).collect()]
+    assert want and {(r.doc_id, r.word_start, r.word_end) for r in got if r.license == "all-rights-reserved-line"} == want
+    assert {"MIT-statement", "Apache-2.0-statement"} <= {r.license for r in got}
+    made = [(1, "All rights reserved."), (2, "f " * 3000 + "ALL Rights\nreserved by x " + "f " * 500 + "all rights reserved"), (3, "all rights are reserved"), (4, "rights reserved"), (5, "MIT"), (6, "a b unlicensed c"), (7, None), (8, "")]
+    lines = {"three": "All rights reserved.", "one": "Unlicensed"}
+    out = licenses.scan(spark.createDataFrame(made, "doc_id long, text string"), lines).collect()
+    assert Counter((r.doc_id, r.license, r.word_start, r.word_end) for r in out) == Counter((d, n, *p) for d, t in made for n, x in lines.items() for p in places(t, x))
+
+
 def brute_pair(a, b):
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
