@@ -1,11 +1,13 @@
 """Quality rules: base counts, and divergence from language references by Jensen-Shannon distance.
 
 References are statistics of all documents of a language: the shares of byte classes, and the shares of its
-common words (those that make ``COMMON`` of its words or more, at most ``TOP``, by exact count). A language with
-under ``REFERENCE_WORDS`` words, a null one, or one beyond the ``LANGUAGES`` largest is held against the reference
-of all documents together. A document diverges if the distance of its byte classes is over ``CLASS_LIMIT`` and it
+common words (those that make ``COMMON`` of its words or more, at most ``TOP``, by exact count); ``LANGUAGES`` of
+them are counted in a pass. A document diverges if the distance of its byte classes is over ``CLASS_LIMIT`` and it
 has ``CLASS_GUARD`` bytes, or if that of its common words is over ``WORD_LIMIT`` and it has ``WORD_GUARD`` words:
-shorter texts are too noisy to judge. A language column that is missing counts as null.
+shorter texts are too noisy to judge. The distances given for a language with under ``REFERENCE_WORDS`` words are those
+from all documents together. These alone would tell a language from the others, so such a document diverges only if
+its distance from its own language is over the limit as well; one without a language is judged by the base rules
+alone. A language column that is missing counts as null.
 """
 
 from __future__ import annotations
@@ -83,22 +85,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(known: dict[str, np.ndarray]):
-    every = np.unique(np.concatenate(list(known.values()))) if known else np.zeros(0, np.int64)
+    """Occurrences of the known words of each language in its texts, and of those of ALL in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             total: dict[str, np.ndarray] = {}
+
+            def add(lang: str, h: np.ndarray) -> None:
+                words = known[lang]
+                if len(words):
+                    i = np.minimum(np.searchsorted(words, h), len(words) - 1)
+                    total[lang] = total.get(lang, 0) + np.bincount(i[words[i] == h], minlength=len(words))
+
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 _, _, row, h = _words(data, offsets)
                 h = h.view(np.int64)
-                i = np.minimum(np.searchsorted(every, h), len(every) - 1)
-                hit = every[i] == h
+                if ALL in known:
+                    add(ALL, h)
                 for lang, rows in _groups(langs, lo, hi):
-                    mine = np.zeros(hi - lo, bool)
-                    mine[rows] = True
-                    total[lang] = total.get(lang, 0) + np.bincount(i[hit & mine[row]], minlength=len(every))
-            out = [(lang, int(every[k]), int(n[k])) for lang, n in total.items() for k in np.flatnonzero(n)]
+                    if lang != ALL and lang in known:
+                        mine = np.zeros(hi - lo, bool)
+                        mine[rows] = True
+                        add(lang, h[mine[row]])
+            out = [(lang, int(known[lang][k]), int(n[k])) for lang, n in total.items() for k in np.flatnonzero(n)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], names=["lang", "word", "n"])
 
@@ -116,34 +126,31 @@ def references(docs: DataFrame, scratch: Scratch) -> dict[str, tuple[np.ndarray,
     whole = top.agg(F.sum("n").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(N_CLASSES)]).first()
     if whole is None or not whole["n"]:
         return {}
-    langs = top.where((F.col("lang") != ALL) & (F.col("n") >= REFERENCE_WORDS)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    size = {r["lang"]: r["n"] for r in langs}
-    named = F.when(F.col("lang").isin(list(size)), F.col("lang")).otherwise(F.lit(ALL)) if size else F.lit(ALL)
+    # one row a language, a few hundred bytes each
+    langs = {r["lang"]: r for r in top.where((F.col("lang") != ALL) & (F.col("n") > 0)).orderBy(F.desc("n"), "lang").collect()}
     words = found.where("word is not null")
     # of all documents together the candidates are those of any language group
-    sums = words.groupBy(named.alias("lang"), "word").agg(F.sum("n").alias("n"))
-    total = F.create_map(*[x for k, v in (size | {ALL: 1}).items() for x in (F.lit(k), F.lit(v))])
-    own = [r for r in sums.where((F.col("lang") != ALL) & (F.col("n") >= F.lit(COMMON / 2) * total[F.col("lang")])).collect()] if size else []
     everyone = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON / 2 * whole["n"]).collect()
-    known = {k: np.array(sorted(r["word"] for r in own if r["lang"] == k), np.int64) for k in size}
-    known[ALL] = np.array(sorted(r["word"] for r in everyone), np.int64)
-    counted = docs.mapInArrow(_count(known), "lang string, word long, n long")
-    rows = counted.groupBy(named.alias("lang"), "word").agg(F.sum("n").alias("n")).collect()  # 2 / COMMON words a language at most
-    exact: dict[str, dict[int, int]] = {}
-    for r in rows:
-        exact.setdefault(r["lang"], {})[r["word"]] = r["n"]
-        if r["lang"] != ALL:
-            exact.setdefault("\0all", {})
-    together: dict[int, int] = {}
-    for r in rows:
-        together[r["word"]] = together.get(r["word"], 0) + r["n"]
     out = {}
-    for lang in [*size, ALL]:
-        n, counts = (size[lang], exact.get(lang, {})) if lang != ALL else (whole["n"], together)
-        best = sorted(((c, w) for w, c in counts.items() if w in set(known[lang].tolist()) and c >= COMMON * n), key=lambda x: (-x[0], x[1]))[:TOP]
-        best.sort(key=lambda x: x[1])
-        row = next((r for r in langs if r["lang"] == lang), whole)
-        out[lang] = (np.array([row[f"c{i}"] for i in range(N_CLASSES)], float), np.array([w for _, w in best], np.int64), np.array([c for c, _ in best] + [n - sum(c for c, _ in best)], float))
+    names = list(langs)
+    for lo in range(0, max(1, len(names)), LANGUAGES):
+        block = names[lo : lo + LANGUAGES]
+        known: dict[str, list[int]] = {k: [] for k in block} | ({} if lo else {ALL: [r["word"] for r in everyone]})
+        if block:
+            total = F.create_map(*[F.lit(x) for k in block for x in (k, langs[k]["n"])])
+            sums = words.where(F.col("lang").isin(block)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            for r in sums.where(F.col("n") >= F.lit(COMMON / 2) * total[F.col("lang")]).collect():  # 2 / COMMON words a language at most
+                known[r["lang"]].append(r["word"])
+        counted = docs.mapInArrow(_count({k: np.array(sorted(v), np.int64) for k, v in known.items()}), "lang string, word long, n long")
+        exact: dict[str, dict[int, int]] = {}
+        for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
+            exact.setdefault(r["lang"], {})[r["word"]] = r["n"]
+        for lang in known:
+            row = langs.get(lang, whole)
+            n = row["n"]
+            best = sorted(((c, w) for w, c in exact.get(lang, {}).items() if c >= COMMON * n), key=lambda x: (-x[0], x[1]))[:TOP]
+            best.sort(key=lambda x: x[1])
+            out[lang] = (np.array([row[f"c{i}"] for i in range(N_CLASSES)], float), np.array([w for _, w in best], np.int64), np.array([c for c, _ in best] + [n - sum(c for c, _ in best)], float))
     return out
 
 
@@ -207,25 +214,34 @@ def _judge(refs: dict):
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 n_words, chars, symbols, dup, rep, row, h = base_counts(data, offsets)
                 n = hi - lo
-                by_class, by_word = np.zeros(n), np.zeros(n)
+                by_class, by_word, far_class, far_word = np.zeros((4, n))
                 if refs:
                     at = np.repeat(np.arange(n), np.diff(offsets))
                     kinds = np.bincount(at * N_CLASSES + CLASSES[data], minlength=n * N_CLASSES).reshape(n, N_CLASSES)
                     signed = h.view(np.int64)
-                    own = np.array([x if x in refs and x else ALL for x in langs[lo:hi]], object)
-                    for lang in set(own):
-                        rows = np.flatnonzero(own == lang)
+
+                    def distances(rows: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray]:
                         place = np.full(n, -1)
                         place[rows] = np.arange(len(rows))
                         classes, words, shares = refs[lang]
-                        by_class[rows] = distance(kinds[rows], classes)
                         w, p = signed[place[row] >= 0], place[row][place[row] >= 0]
                         k = np.minimum(np.searchsorted(words, w), max(0, len(words) - 1))
                         k = np.where(words[k] == w, k, len(words)) if len(words) else np.zeros(len(w), np.int64)
                         hist = np.bincount(p * (len(words) + 1) + k, minlength=len(rows) * (len(words) + 1)).reshape(len(rows), -1)
-                        by_word[rows] = distance(hist, shares)
+                        return distance(kinds[rows], classes), distance(hist, shares)
+
+                    own = np.array([x if x in refs and x else ALL for x in langs[lo:hi]], object)
+                    for lang in set(own):
+                        rows = np.flatnonzero(own == lang)
+                        large = lang != ALL and refs[lang][2].sum() >= REFERENCE_WORDS
+                        by_class[rows], by_word[rows] = distances(rows, lang if large else ALL)
+                        if large:
+                            far_class[rows], far_word[rows] = by_class[rows], by_word[rows]
+                        elif lang != ALL:
+                            c, w = distances(rows, lang)
+                            far_class[rows], far_word[rows] = np.minimum(by_class[rows], c), np.minimum(by_word[rows], w)
                 failed = (n_words < 10) | (100 * rep > 20 * n_words)
-                apart = ((by_class > CLASS_LIMIT) & (np.diff(offsets) >= CLASS_GUARD)) | ((by_word > WORD_LIMIT) & (n_words >= WORD_GUARD))
+                apart = ((far_class > CLASS_LIMIT) & (np.diff(offsets) >= CLASS_GUARD)) | ((far_word > WORD_LIMIT) & (n_words >= WORD_GUARD))
                 cols = [n_words, chars, symbols, dup, rep]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, n), *[pa.array(c.astype(np.int64)) for c in cols], pa.array(failed), pa.array(~failed & ~apart), pa.array(by_class), pa.array(by_word), *[batch.column(c).slice(lo, n) for c in batch.schema.names[3:]]],

@@ -77,6 +77,35 @@ def test_quality_sorts_labels(spark):
     assert empty.count() == 0
 
 
+def test_quality_of_languages_without_a_reference(spark):
+    """Clean texts in another script are kept at every size of their language, and those without a language."""
+    rng = random.Random(2)
+    letters = {"ru": "абвгдежзиклмнопрстуфхцчшщыьэюя", "zh": "的一是不了人我在有他这中大来上国个到说们", "el": "αβγδεζηθικλμνξοπρστυφχψω"}
+    prose = lambda x, n: " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    made = [(10000 + 100 * k + i, prose(x, 300), lang) for k, (x, lang) in enumerate([("ru", "ru"), ("zh", "zh"), ("el", None), ("el", "")]) for i in range(3)]
+    made += [(20000 + i, prose("ru", 300), "bg") for i in range(40)]  # over REFERENCE_WORDS
+    made += [(40000 + i, prose("ru", 20) + " &&& %%% ### $$$ *** ||| <<< >>>" * 40, "bg" if i else "ru") for i in range(2)]  # junk
+    made += [(30000, "слово " * 100, "ru"), (30001, "слово", "zh")]
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "lang")
+    got = {r.doc_id: r for r in quality.judge(docs.unionByName(spark.createDataFrame(made, docs.schema))).collect()}
+    assert max(got[d].class_distance for d, *_ in made[:12]) > quality.CLASS_LIMIT
+    assert [d for d, *_ in made if not got[d].kept] == [40000, 40001, 30000, 30001]
+    assert sum(not r.kept and not r.base_failed for r in got.values()) > 30  # those of the large languages are judged
+    small = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    spanish = {r.doc_id: r for r in quality.judge(small).join(small.where("lang = 'es'").select("doc_id"), "doc_id").collect()}
+    assert sum(r.n_words for r in spanish.values()) < quality.REFERENCE_WORDS
+    assert {d for d, r in spanish.items() if not r.kept and not r.base_failed} == {14, 17, 47, 48}  # words strewn with symbols
+
+
+def test_quality_counts_languages_in_passes(spark, monkeypatch):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = lambda: sorted((r.doc_id, r.kept, round(r.class_distance, 9), round(r.word_distance, 9)) for r in quality.judge(docs).collect())
+    want = rows()
+    for n in (1, 3):
+        monkeypatch.setattr(quality, "LANGUAGES", n)
+        assert rows() == want
+
+
 def auc(pairs):
     pairs = sorted(pairs)
     pos = [i for i, (_, y) in enumerate(pairs, 1) if y]
