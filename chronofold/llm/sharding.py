@@ -1,7 +1,7 @@
 """Sharding by balanced label propagation: equal texts move together while shards keep equal row counts.
 
 Law ``rows``: shard sizes are at most one apart. Documents with equal texts are linked. They start on shards by a
-hash of their id; in each round the rows that a group has on its lesser shards move to where most of it is, as far
+hash of their id; in each round, until no move is accepted, the rows that a group has on its lesser shards move to where most of it is, as far
 as the quotas allow: a shard takes in what its room and the rows that leave it make up for. A group beyond one shard's share gets as many
 shards as it fills. Rows of one group on one shard are alike, so propagation runs on (group, shard, count) cells: 40
 a group at most, however large the group. Unlinked documents cost no cut edges wherever they are; they fill what the
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import Scratch, bucketed_rank
 
-SHARDS, ROUNDS = 40, 3
+SHARDS = 40
+ROUNDS = 60  # a bound only: rounds end when no move is accepted
 
 
 def quotas(total: int, shards: int) -> list[int]:
@@ -65,6 +66,8 @@ def propagate(cells: DataFrame, quota: list[int], scratch: Scratch, rounds: int
         luck = F.pmod(F.xxhash64("g", "shard", F.lit(turn + 1000)), F.lit(1 << 20)) / F.lit(float(1 << 20))
         taken = F.least(F.col("n"), F.floor(F.col("n") * share + F.when(share < 1.0, luck).otherwise(0.0)))
         moved = moves.withColumn("taken", taken).where("taken > 0")
+        if not moved.limit(1).count():
+            break
         change = moved.select("g", F.col("to").alias("shard"), F.col("taken").alias("n")).unionByName(moved.select("g", "shard", (-F.col("taken")).alias("n")))
         new = scratch.cut(cells.unionByName(change).groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"))
         scratch.drop(cells, moves)

@@ -46,6 +46,25 @@ def test_sharding_edges(spark):
     assert sharding.shard(df.limit(0)).count() == 0 and sharding.shard(df.limit(1)).count() == 1
 
 
+def test_sharding_goes_on_until_no_move_is_accepted(spark):
+    rng = random.Random(6)
+    rows, quota = [], sharding.quotas(6000, 8)
+    while len(rows) < 6000:
+        g = len(rows)
+        rows += [(g + i, g) for i in range(min(rng.randint(2, 150), 6000 - g))]
+    scratch = sharding.Scratch(spark)
+    cells = scratch.cut(sharding._cells(spark.createDataFrame(rows, "doc_id long, g long"), quota))
+
+    def cut(rounds):
+        by = defaultdict(list)
+        for r in sharding.propagate(cells.select("*"), quota, sharding.Scratch(spark), rounds).collect():
+            by[r.g].append(r.n)
+        assert sum(map(sum, by.values())) == len(rows)
+        return sum(sum(v) - max(v) for v in by.values())
+
+    assert cut(sharding.ROUNDS) == cut(sharding.ROUNDS + 5) < cut(3)
+
+
 def test_mixing(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
     tokens = {r.doc_id: (r.source, max(1, len(words(r.text)))) for r in docs.collect()}
