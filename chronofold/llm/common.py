@@ -62,9 +62,12 @@ def partitions(spark: SparkSession) -> int:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over all 64."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x = x ^ (x >> U(30))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def random_words(seed: int, n: int) -> np.ndarray:
@@ -72,47 +75,97 @@ def random_words(seed: int, n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed * 0xD1B54A32D192ED03 % (1 << 64)))
 
 
-_BYTES = random_words(1, 256)
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-_TABLE: list[np.ndarray] = []
+_SEEDS = random_words(1, 4)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least; one table is kept, the largest of those for usual chunks."""
-    if _TABLE and len(_TABLE[0]) >= n:
-        return _TABLE[0], _TABLE[1]
-    up, down = np.full(max(n, 2 * CHUNK), _P, U), np.full(max(n, 2 * CHUNK), _P_INV, U)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    if len(up) <= 8 * CHUNK:
-        _TABLE[:] = [up, down]
-    return up, down
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position as one little-endian number, zeros beyond the end: a view, not a copy."""
+    wide = np.empty(len(data) + 8, np.uint8)
+    wide[: len(data)], wide[len(data) :] = data, 0
+    return np.ndarray((len(data) + 1,), "<u8", wide, strides=(1,))
 
 
-class RollingHash:
-    """Hash of any byte range of a buffer in constant time."""
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)  # masks of the first k bytes of a word
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... (counts[i] of them), for all i end to end."""
+    total = int(counts.sum())
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(total)
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of the k bytes at each position that has as many."""
-        n = len(self.sums) - 1 - k + 1
-        if n <= 0:
-            return np.zeros(0, U)
-        return mix((self.sums[k:] - self.sums[:-k]) * self.down[:n])
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the byte ranges [start, end): every block of 8 bytes is mixed with its place in the range, then summed.
+
+    Blocks go through a non-linear mixer before they are added, so no repetitive text cancels out (as it can in a polynomial
+    modulo 2^64). Where equality must be certain, ``distinct_ranges`` compares the bytes.
+    """
+    words = words_at(data) if words is None else words
+    size = end - start
+    out = mix((words[start] & _HEAD[np.minimum(size, 8)]) ^ _SEEDS[0])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        blocks = (size[long] - 1) >> 3  # beyond the first
+        place = spread(np.ones(len(long), np.int64), blocks)
+        at = np.repeat(start[long], blocks) + 8 * place
+        block = words[at] & _HEAD[np.minimum(np.repeat(end[long], blocks) - at, 8)]
+        mixed = mix(block ^ mix(place.astype(U) * _SEEDS[1] + _SEEDS[2]))
+        out[long] += np.add.reduceat(mixed, np.cumsum(blocks) - blocks)
+    return mix(out + size.astype(U) * (_SEEDS[3] | U(1)))
+
+
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes (a multiple of 8) at each position that has as many."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    words = words_at(data)
+    out = words[:n] ^ _SEEDS[0]
+    for j in range(8, k, 8):
+        out = mix(out) + words[j : n + j]
+    return mix(out)
+
+
+def same_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ``size`` bytes at a equal those at b, for each pair."""
+    words = words_at(data) if words is None else words
+    out = ((words[a] ^ words[b]) & _HEAD[np.minimum(size, 8)]) == 0
+    long = np.flatnonzero((size > 8) & out)
+    if len(long):
+        blocks = (size[long] - 1) >> 3
+        ahead = 8 * spread(np.ones(len(long), np.int64), blocks)
+        left = np.minimum(np.repeat(size[long], blocks) - ahead, 8)
+        differ = (words[np.repeat(a[long], blocks) + ahead] ^ words[np.repeat(b[long], blocks) + ahead]) & _HEAD[left]
+        out[long] = np.bitwise_or.reduceat(differ, np.cumsum(blocks) - blocks) == 0
+    return out
+
+
+def distinct_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the first range of each distinct byte string, number of each range's string, hashes).
+
+    Hashes propose, bytes decide: should two strings share a hash, strings are told apart by their bytes.
+    """
+    if not len(start):
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(0, U)
+    words = words_at(data)
+    h = range_hashes(data, start, end, words)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    rep = first[back]
+    size = end - start
+    other = np.flatnonzero(rep != np.arange(len(rep)))
+    fine = (size[other] == size[rep[other]]) & same_ranges(data, start[other], start[rep[other]], np.minimum(size[other], size[rep[other]]), words)
+    if not fine.all():
+        raw, names = data.tobytes(), {}
+        back = np.array([names.setdefault(raw[s:e], len(names)) for s, e in zip(start.tolist(), end.tolist())], np.int64)
+        first = np.unique(back, return_index=True)[1]
+    return first, back, h
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -185,7 +238,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE, limit: int = CHUNK) -> Itera
     for lo, hi, data, offsets in chunks(texts, limit):
         data = LOWER[data]
         s, e, rows = word_bounds(data, offsets)
-        words = RollingHash(data).ranges(s, e) if len(s) else np.zeros(0, U)
+        words = range_hashes(data, s, e)
         h, r = shingle_hashes(words, rows, hi - lo, k)
         at = np.searchsorted(r, np.arange(hi - lo + 1))
         yield lo, [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]

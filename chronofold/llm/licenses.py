@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import LOWER, RollingHash, U, chunks, random_words, shingle_hashes, word_bounds
+from chronofold.llm.common import LOWER, U, chunks, random_words, range_hashes, shingle_hashes, word_bounds
 
 BANDS, CONTAINED = 64, 0.8
 _A, _B = random_words(21, BANDS) | U(1), random_words(22, BANDS)
@@ -51,7 +51,7 @@ LINES = {"all-rights-reserved-line": "All rights reserved."}
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     s, e, row = word_bounds(np.where(NOT_WORD[data], np.uint8(32), data), offsets)
-    return RollingHash(data).ranges(s, e) if len(s) else np.zeros(0, U), row
+    return range_hashes(data, s, e), row
 
 
 class Index:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import RollingHash, chunks
+from chronofold.llm.common import chunks, distinct_ranges
 from chronofold.llm.suffix import prefix_keys, room_of, suffix_array
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -217,7 +217,7 @@ def encode(texts: list[str], path: str = MODEL) -> tuple[np.ndarray, np.ndarray]
     start[(text_end - size)[size > 0]] = True
     start = np.flatnonzero(start)
     end = np.append(start[1:], n)
-    _, first, back = np.unique(RollingHash(data).ranges(start, end), return_index=True, return_inverse=True)
+    first, back, _ = distinct_ranges(data, start, end)
     # the distinct words, end to end
     ws, we = start[first], end[first]
     length = we - ws

@@ -1,13 +1,16 @@
 """Quality rules: base counts, and divergence from language references by Jensen-Shannon distance.
 
 References are statistics of all documents of a language: the shares of byte classes, and the shares of its
-common words (those that make ``COMMON`` of its words or more, at most ``TOP``, by exact count); ``LANGUAGES`` of
-them are counted in a pass. A document diverges if the distance of its byte classes is over ``CLASS_LIMIT`` and it
-has ``CLASS_GUARD`` bytes, or if that of its common words is over ``WORD_LIMIT`` and it has ``WORD_GUARD`` words:
-shorter texts are too noisy to judge. The distances given for a language with under ``REFERENCE_WORDS`` words are those
-from all documents together. These alone would tell a language from the others, so such a document diverges only if
-its distance from its own language is over the limit as well; one without a language is judged by the base rules
-alone. A language column that is missing counts as null.
+common words (all that make ``COMMON`` of its words and occur ``EVIDENCE`` times, by exact count: ``TOP`` words at most). A
+document is judged against the reference of its own language, however small: where words are rare, fewer of them count
+as common. It diverges if the distance of its byte classes is over ``CLASS_LIMIT`` and it has ``CLASS_GUARD`` bytes, or
+if that of its common words is over ``WORD_LIMIT`` and it has ``WORD_GUARD`` words: shorter texts are too noisy to
+judge. A document without a language is judged by the base rules alone. A language column that is missing counts as null.
+
+Given as columns are the distances from the own language's reference; for a language with under ``REFERENCE_WORDS`` words, whose
+distances do not compare with those of others, and for none, from that of all documents together.
+
+Counts within a text are exact: words and lines are told apart by their bytes. Words of the references go by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import RollingHash, Scratch, U, chunks, mix, shingle_hashes, word_bounds
+from chronofold.llm.common import Scratch, U, chunks, distinct_ranges, mix, random_words, word_bounds
 
-COMMON, TOP, REFERENCE_WORDS, LANGUAGES = 1 / 500, 64, 10_000, 256
+COMMON, EVIDENCE = 1 / 500, 20
+TOP, REFERENCE_WORDS = 500, 10_000  # both follow: 1 / COMMON, and EVIDENCE / COMMON
+LANGUAGES = 256  # are counted in one pass over the texts, more of them in further passes
 CLASS_LIMIT, CLASS_GUARD, WORD_LIMIT, WORD_GUARD = 0.30, 200, 0.55, 50
 WINDOW = 5
 #: Byte classes: lower case, upper case, digit, white space, punctuation, symbol, control, beyond ASCII.
@@ -50,9 +55,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(d / 2, 0, 1))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash, number) of the words; equal words of the chunk, and no others, have one number."""
     s, e, row = word_bounds(data, offsets)
-    return s, e, row, RollingHash(data).ranges(s, e) if len(s) else np.zeros(0, U)
+    _, number, h = distinct_ranges(data, s, e)
+    return s, e, row, h, number
 
 
 def _groups(langs: list, lo: int, hi: int) -> Iterator[tuple[str, np.ndarray]]:
@@ -67,7 +74,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = batch.column("lang").to_pylist()
         out = []
         for lo, hi, data, offsets in chunks(batch.column("text")):
-            _, _, row, h = _words(data, offsets)
+            _, _, row, h, _ = _words(data, offsets)
             kinds = CLASSES[data]
             at = np.repeat(np.arange(hi - lo), np.diff(offsets))
             for lang, rows in _groups(langs, lo, hi):
@@ -99,7 +106,7 @@ def _count(known: dict[str, np.ndarray]):
                     total[lang] = total.get(lang, 0) + np.bincount(i[words[i] == h], minlength=len(words))
 
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                _, _, row, h = _words(data, offsets)
+                _, _, row, h, _ = _words(data, offsets)
                 h = h.view(np.int64)
                 if ALL in known:
                     add(ALL, h)
@@ -127,7 +134,7 @@ def references(docs: DataFrame, scratch: Scratch) -> dict[str, tuple[np.ndarray,
     if whole is None or not whole["n"]:
         return {}
     # one row a language, a few hundred bytes each
-    langs = {r["lang"]: r for r in top.where((F.col("lang") != ALL) & (F.col("n") > 0)).orderBy(F.desc("n"), "lang").collect()}
+    langs = {r["lang"]: r for r in top.where((F.col("lang") != ALL) & (F.col("n") > 0)).orderBy("lang").collect()}
     words = found.where("word is not null")
     # of all documents together the candidates are those of any language group
     everyone = words.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON / 2 * whole["n"]).collect()
@@ -142,22 +149,21 @@ def references(docs: DataFrame, scratch: Scratch) -> dict[str, tuple[np.ndarray,
             for r in sums.where(F.col("n") >= F.lit(COMMON / 2) * total[F.col("lang")]).collect():  # 2 / COMMON words a language at most
                 known[r["lang"]].append(r["word"])
         counted = docs.mapInArrow(_count({k: np.array(sorted(v), np.int64) for k, v in known.items()}), "lang string, word long, n long")
-        exact: dict[str, dict[int, int]] = {}
-        for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
-            exact.setdefault(r["lang"], {})[r["word"]] = r["n"]
-        for lang in known:
+        least = F.create_map(*[F.lit(x) for k in known for x in (k, max(EVIDENCE, COMMON * langs.get(k, whole)["n"]))])
+        exact: dict[str, list] = {k: [] for k in known}
+        for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least[F.col("lang")]).collect():  # 1 / COMMON words a language at most
+            exact[r["lang"]].append((r["word"], r["n"]))
+        for lang, best in exact.items():
             row = langs.get(lang, whole)
-            n = row["n"]
-            best = sorted(((c, w) for w, c in exact.get(lang, {}).items() if c >= COMMON * n), key=lambda x: (-x[0], x[1]))[:TOP]
-            best.sort(key=lambda x: x[1])
-            out[lang] = (np.array([row[f"c{i}"] for i in range(N_CLASSES)], float), np.array([w for _, w in best], np.int64), np.array([c for c, _ in best] + [n - sum(c for c, _ in best)], float))
+            best.sort()
+            out[lang] = (np.array([row[f"c{i}"] for i in range(N_CLASSES)], float), np.array([w for w, _ in best], np.int64), np.array([c for _, c in best] + [row["n"] - sum(c for _, c in best)], float))
     return out
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row of a chunk, and word (row, hash)."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row of a chunk, and (row, hash) of its words."""
     n = len(offsets) - 1
-    s, e, row, h = _words(data, offsets)
+    s, e, row, h, number = _words(data, offsets)
     sums = lambda mask: np.concatenate([[0], np.cumsum(mask)])[offsets[1:]] - np.concatenate([[0], np.cumsum(mask)])[offsets[:-1]]
     n_words = np.bincount(row, minlength=n)
     inside = np.zeros(len(data) + 1, np.int8)
@@ -165,7 +171,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]
     np.add.at(inside, e, -1)
     chars = sums(((data & 0xC0) != 0x80) & (np.cumsum(inside[:-1], dtype=np.int8) > 0)) if len(data) else np.zeros(n, np.int64)
     symbols = sums(SYMBOLS[data]) if len(data) else np.zeros(n, np.int64)
-    return n_words, chars, symbols, _dup_lines(data, offsets, s), _repeat_words(h, row, n), row, h
+    return n_words, chars, symbols, _dup_lines(data, offsets, s), _repeat_words(number, row, n), row, h
 
 
 def _dup_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
@@ -181,30 +187,43 @@ def _dup_lines(data: np.ndarray, offsets: np.ndarray, word_starts: np.ndarray) -
     has = np.searchsorted(word_starts, end) > np.searchsorted(word_starts, start)
     start, end = start[has], end[has]
     row = np.searchsorted(offsets, start, "right") - 1
-    h = RollingHash(data).ranges(start, end)
+    _, h, _ = distinct_ranges(data, start, end)
     o = np.lexsort((h, row))
     again = (h[o][1:] == h[o][:-1]) & (row[o][1:] == row[o][:-1])
     return np.bincount(row[o][1:][again], minlength=n)
 
 
-def _repeat_words(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+_PLACE = random_words(4, WINDOW + 1) | U(1)
+
+
+def _repeat_words(number: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Words in windows that a row holds twice or more. Windows are sorted by a hash; where hashes agree, the words decide."""
     out = np.zeros(n, np.int64)
-    if len(h) < WINDOW:
+    first = np.flatnonzero(row[: max(0, len(row) - WINDOW + 1)] == row[WINDOW - 1 :]) if len(row) >= WINDOW else np.zeros(0, np.int64)
+    if not len(first):
         return out
-    long = np.bincount(row, minlength=n)[row] >= WINDOW
-    at = np.flatnonzero(long)
-    g, r = shingle_hashes(h[at], row[at], n, WINDOW)
-    first = np.flatnonzero(row[at][: len(at) - WINDOW + 1] == row[at][WINDOW - 1 :])
-    key = mix(g + r.astype(U) * U(0x9E3779B97F4A7C15))  # within a row
-    o = np.argsort(key)
-    same = key[o][1:] == key[o][:-1]
+    key = row[first].astype(U) * _PLACE[WINDOW]
+    for j in range(WINDOW):
+        key = mix(key + number[first + j].astype(U) * _PLACE[j])
+    o = first[np.argsort(key, kind="stable")]
+    key = np.sort(key)
+    near = np.flatnonzero(key[1:] == key[:-1])
+    same = row[o[near]] == row[o[near + 1]]
+    for j in range(WINDOW):
+        same &= number[o[near] + j] == number[o[near + 1] + j]
     twice = np.zeros(len(o), bool)
-    twice[o[1:][same]] = True
-    twice[o[:-1][same]] = True
-    edge = np.zeros(len(at) + 1, np.int32)
-    np.add.at(edge, first[twice], 1)
-    np.add.at(edge, first[twice] + WINDOW, -1)
-    return np.bincount(row[at][np.cumsum(edge[:-1]) > 0], minlength=n)
+    if same.all():
+        twice[near] = twice[near + 1] = True
+    else:  # windows that differ under one hash
+        seen: dict[tuple, int] = {}
+        for k, at in enumerate(o.tolist()):
+            before = seen.setdefault((row[at], *number[at : at + WINDOW].tolist()), k)
+            if before != k:
+                twice[before] = twice[k] = True
+    edge = np.zeros(len(row) + 1, np.int32)
+    np.add.at(edge, o[twice], 1)
+    np.add.at(edge, o[twice] + WINDOW, -1)
+    return np.bincount(row[np.cumsum(edge[:-1]) > 0], minlength=n)
 
 
 def _judge(refs: dict):
@@ -233,13 +252,11 @@ def _judge(refs: dict):
                     own = np.array([x if x in refs and x else ALL for x in langs[lo:hi]], object)
                     for lang in set(own):
                         rows = np.flatnonzero(own == lang)
-                        large = lang != ALL and refs[lang][2].sum() >= REFERENCE_WORDS
-                        by_class[rows], by_word[rows] = distances(rows, lang if large else ALL)
-                        if large:
+                        by_class[rows], by_word[rows] = distances(rows, lang)
+                        if lang != ALL:
                             far_class[rows], far_word[rows] = by_class[rows], by_word[rows]
-                        elif lang != ALL:
-                            c, w = distances(rows, lang)
-                            far_class[rows], far_word[rows] = np.minimum(by_class[rows], c), np.minimum(by_word[rows], w)
+                            if refs[lang][2].sum() < REFERENCE_WORDS:
+                                by_class[rows], by_word[rows] = distances(rows, ALL)
                 failed = (n_words < 10) | (100 * rep > 20 * n_words)
                 apart = ((far_class > CLASS_LIMIT) & (np.diff(offsets) >= CLASS_GUARD)) | ((far_word > WORD_LIMIT) & (n_words >= WORD_GUARD))
                 cols = [n_words, chars, symbols, dup, rep]

@@ -64,7 +64,7 @@ def op8_minhash_near_dedup(spark, d):
 
 @query
 def op9_suffix_array_dedup(spark, d):
-    return suffix.remove_repeats(table(spark, d, "documents")).drop("kept_text")
+    return suffix.remove_repeats(table(spark, d, "documents")).drop("kept_text", "text_key")
 
 
 @query

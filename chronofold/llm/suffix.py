@@ -14,7 +14,7 @@ earlier in the same one. Strings are judged on the input.
    Neighbours with a common prefix of SIZE are equal windows; all but the first are marked.
 4. An anchor with more bytes than a shard holds is split into shards of its own by document order, and the
    shards' sorted distinct windows are merged by binary search.
-5. Marked spans return to their documents by doc_id and are united.
+5. Marked spans return to their documents by (doc_id, text key) and are united.
 
 Exact copies of a document (equal MD5 of the text) are settled at once: all their windows are in the first.
 """
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import RollingHash, Scratch, U, chunks, partitions
+from chronofold.llm.common import Scratch, U, chunks, distinct_ranges, gram_hashes, partitions, spread, words_at
 
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM + 1  # anchor places in a window
@@ -41,8 +41,8 @@ SHARDS = 4  # shards' worth of runs that are read before equal ones go
 SEND = 1 << 22  # bytes of text that go out together
 LAST = (1 << 63) - 1
 FOUND = "bucket int, kind int, h binary, d binary, p binary, m binary"
-RUN = "key long, doc long, start int, bytes binary, kind int"
-SPANS = "doc_id long, spans binary"
+RUN = "key long, doc long, own long, start int, bytes binary, kind int"
+SPANS = "doc_id long, text_key long, spans binary"
 PLACES = "text_key long, spans binary"
 
 
@@ -59,7 +59,6 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 class Anchors:
     """Of a chunk: hashes of its grams, the least one in each window, which windows lie in one row, and the anchors."""
 
-    rolling: RollingHash
     grams: np.ndarray
     least: np.ndarray
     whole: np.ndarray
@@ -76,12 +75,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Anchors | None:
     n = len(data) - SIZE + 1
     if n <= 0:
         return None
-    rolling = RollingHash(data)
-    grams = rolling.grams(GRAM)
+    grams = gram_hashes(data, GRAM)
     whole = np.ones(n, bool)
     for end in offsets[1:-1]:  # a window lies in one row
         whole[max(0, end - SIZE + 1) : end] = False
-    return Anchors(rolling, grams, sliding_min(grams, REACH), whole)
+    return Anchors(grams, sliding_min(grams, REACH), whole)
 
 
 def room_of(lengths: np.ndarray) -> np.ndarray:
@@ -101,9 +99,11 @@ def prefix_keys(data: np.ndarray, room: np.ndarray) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, room: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(data: np.ndarray, room: np.ndarray, key: np.ndarray | None = None, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of all suffixes, each up to the end of its run; equal suffixes follow their position.
 
+    With a ``depth``, suffixes that agree on as many bytes may stay in any order: enough to look up strings up to that length.
+
     Larsson-Sadakane: suffixes are sorted by 7 bytes; then only groups that are still unsorted are sorted
     again, by the rank of the suffix that starts where the known prefix ends, which doubles it.
     """
@@ -116,16 +116,19 @@ def suffix_array(data: np.ndarray, room: np.ndarray, key: np.ndarray | None = No
     fresh[1:] = sorted_key[1:] != sorted_key[:-1]
     slot = np.arange(n)
     group = np.maximum.accumulate(np.where(fresh, slot, 0))
-    tails = np.flatnonzero(room[order] < known)  # a group holds such tails alone or none
-    at = order[tails]
-    order[tails] = at[np.lexsort((at, group[tails]))]
-    group[tails] = tails
+    if depth is None:
+        tails = np.flatnonzero(room[order] < known)  # a group holds such tails alone or none
+        at = order[tails]
+        order[tails] = at[np.lexsort((at, group[tails]))]
+        group[tails] = tails
     rank = np.empty(n, np.int64)
     rank[order] = group
     open_ = np.append(group[1:] == group[:-1], False)
     open_[1:] |= open_[:-1].copy()
     open_ = np.flatnonzero(open_)
-    while len(open_):
+    if depth is not None:
+        open_ = open_[room[order[open_]] >= known]  # tails of one group are equal to their end
+    while len(open_) and (depth is None or known < depth):
         at = order[open_]
         # a suffix that ends here comes first, equal ones by position
         rest = np.where(room[at] > known, rank[np.minimum(at + known, n - 1)], at - n)
@@ -141,15 +144,6 @@ def suffix_array(data: np.ndarray, room: np.ndarray, key: np.ndarray | None = No
     return order, rank
 
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position, as one number; zeros beyond the end."""
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    out = wide[: len(data)].astype(U)
-    for j in range(1, 8):
-        out |= wide[j : len(data) + j].astype(U) << U(8 * j)
-    return out
-
-
 def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.ndarray, counts: np.ndarray, cap: int) -> np.ndarray:
     """Common prefix, up to ``cap``, of each listed suffix with the one before it in suffix order.
 
@@ -158,10 +152,10 @@ def kasai(data: np.ndarray, room: np.ndarray, before: np.ndarray, starts: np.nda
     one to its left did, and what comes beyond is compared 8 bytes at a time.
     """
     pieces = -(-counts // LANE)
-    nth = _spread(np.zeros(len(counts), np.int64), pieces)
+    nth = spread(np.zeros(len(counts), np.int64), pieces)
     starts, counts = np.repeat(starts, pieces) + nth * LANE, np.minimum(np.repeat(counts, pieces) - nth * LANE, LANE)
     out = np.zeros(len(before), np.int32)
-    words = words_at(data)
+    words = np.array(words_at(data))
     left = np.zeros(len(starts), np.int64)
     by = np.argsort(-counts, kind="stable")
     starts, counts = starts[by], counts[by]
@@ -203,11 +197,6 @@ def first_windows(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, rank_
     return order, np.repeat(low, np.diff(np.append(heads, len(order))))
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    total = int(counts.sum())
-    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(total)
-
-
 def _find(n_buckets: int):
     """Anchors of a chunk of texts: each gram's first place with a mark if the chunk has more; the other places directly.
 
@@ -307,16 +296,25 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_doc(d[keep], p[keep])
 
 
+def _ranks(doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents in corpus order, by (doc_id, text_key): (rank of each entry, doc_id and text_key of each rank)."""
+    by = np.lexsort((own, doc))
+    new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (own[by][1:] != own[by][:-1]))[: len(by)]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return rank, doc[by][new], own[by][new]
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose anchor repeats, with their bytes; a chunk's later equal runs as spans at once."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        own = pc.equal(batch.column("text_key"), batch.column("place_key"))
-        spans = pc.if_else(pc.fill_null(own, False), batch.column("spans"), None).to_pylist()
+        ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
+        spans = batch.column("spans").to_pylist()
         for lo, hi, data, offsets in chunks(batch.column("text")):
             n = len(data) - SIZE + 1
             if n <= 0:
                 continue
+            # two texts with one key would have each other's places: those beyond the text are left out
             known = [np.frombuffer(x, np.int32) + offsets[i - lo] for i in range(lo, hi) for x in spans[i] or ()]
             if not known:
                 continue
@@ -324,7 +322,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least, whole = got.least, got.whole
             new = whole.copy()
             new[1:] &= ~whole[:-1] | (least[1:] != least[:-1])
-            seen = np.unique(got.grams[np.concatenate(known)])
+            known = np.concatenate(known)
+            seen = np.unique(got.grams[known[known < len(got.grams)]])
+            if not len(seen):
+                continue
             first = np.flatnonzero(new)
             low = least[first]
             useful = seen[np.minimum(np.searchsorted(seen, low), len(seen) - 1)] == low
@@ -337,19 +338,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tail[:-1] &= ~good[1:] | new[1:]
             end = np.flatnonzero(tail) + SIZE
             row = np.searchsorted(offsets, start, "right") - 1
-            key, doc, place = least[start].view(np.int64), ids[lo:hi][row], (start - offsets[row]).astype(np.int32)
+            key, doc, own, place = least[start].view(np.int64), ids[lo:hi][row], keys[lo:hi][row], (start - offsets[row]).astype(np.int32)
             # equal runs of this chunk: the earliest goes on, the others are known to repeat
-            body = got.rolling.ranges(start, end)
-            o = np.lexsort((place, doc, body))
+            _, body, _ = distinct_ranges(data, start, end)
+            o = np.lexsort((place, own, doc, body))
             later = np.zeros(len(o), bool)
-            later[o[1:]] = (body[o][1:] == body[o][:-1]) & ((doc[o][1:] != doc[o][:-1]) | (place[o][1:] != place[o][:-1]))
+            later[o[1:]] = (body[o][1:] == body[o][:-1]) & ((doc[o][1:] != doc[o][:-1]) | (own[o][1:] != own[o][:-1]) | (place[o][1:] != place[o][:-1]))
             raw = data.tobytes()
             texts = [raw[s:e] if not x else int(e - s).to_bytes(4, "little") for s, e, x in zip(start.tolist(), end.tolist(), later)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(later, doc, key)), pa.array(doc), pa.array(place), pa.array(texts, pa.binary()), pa.array(later.astype(np.int32))], names=["key", "doc", "start", "bytes", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(later, doc, key)), pa.array(doc), pa.array(own), pa.array(place), pa.array(texts, pa.binary()), pa.array(later.astype(np.int32))], names=["key", "doc", "own", "start", "bytes", "kind"])
 
 
 def _mark(key: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the windows of a shard that occur earlier in it, as spans.
+    """(doc, start, end) of the windows of a shard that occur earlier in it, as spans; ``doc`` is the rank of a document.
 
     Of equal runs the earliest is indexed, the others repeat whole. An anchor with one distinct run has nothing
     to compare, unless its gram occurs twice in the run (periodic text).
@@ -357,15 +358,14 @@ def _mark(key: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes
     size = np.array([len(t) for t in texts])
     begin = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts), np.uint8)
-    rolling = RollingHash(data)
-    body = rolling.ranges(begin, begin + size)
+    _, body, _ = distinct_ranges(data, begin, begin + size)
     by = np.lexsort((start, doc, body))
     twin = np.append(False, body[by][1:] == body[by][:-1])
     head = by[np.maximum.accumulate(np.where(twin, 0, np.arange(len(by))))]
     later = by[twin & ((doc[by] != doc[head]) | (start[by] != start[head]))]
     out = [(doc[later], start[later].astype(np.int64), start[later] + size[later])]
     left = np.sort(by[~twin])
-    grams = rolling.grams(GRAM)
+    grams = gram_hashes(data, GRAM)
     inside = np.repeat(np.arange(len(texts)), size)[: len(grams)]
     own = np.bincount(inside[grams == np.repeat(key.view(U), size)[: len(grams)]], minlength=len(texts))
     _, group = np.unique(key[left], return_inverse=True)
@@ -394,7 +394,7 @@ def _compared(doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[n
     data = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(size) - size
     if len(data) <= 2 * SHARD or len(texts) == 1:
-        pos = _spread(begin, counts)
+        pos = spread(begin, counts)
         rank_of = np.zeros(len(data), np.int64)
         rank_of[pos] = np.repeat(at * width, counts) + pos - np.repeat(begin, counts)
         order, low = first_windows(data, begin, counts, rank_of)
@@ -425,7 +425,7 @@ def _merged(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, at: np.ndar
         own = by[part == k]
         local = np.concatenate([data[begin[r] : begin[r] + size[r]] for r in own])
         first = np.cumsum(size[own]) - size[own]
-        pos = _spread(first, counts[own])
+        pos = spread(first, counts[own])
         back = pos - np.repeat(first, counts[own]) + np.repeat(begin[own], counts[own])
         rank_of, to = np.zeros(len(local), np.int64), np.zeros(len(local), np.int64)
         rank_of[pos] = np.repeat(at[own] * width, counts[own]) + pos - np.repeat(first, counts[own])
@@ -443,43 +443,50 @@ def _merged(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, at: np.ndar
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs in key order: shards are cut at anchor borders."""
-    keys: list = []
-    docs: list = []
-    starts: list = []
-    texts: list[bytes] = []
-    size = 0
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if texts:
-            doc, a, b = _mark(np.array(keys, np.int64), np.array(docs, np.int64), np.array(starts, np.int32), texts)
-            yield from _spans(doc, a, b)
+        if held:
+            rows = pa.Table.from_batches(held)
+            key, doc, own, start = (rows.column(c).to_numpy() for c in ("key", "doc", "own", "start"))
+            rank, docs, owns = _ranks(doc, own)
+            r, a, b = _mark(key, rank, start, rows.column("bytes").to_pylist())
+            yield from _spans(r, a, b, docs, owns)
 
     for batch in batches:
         settled = batch.filter(pc.equal(batch.column("kind"), 1))
         if settled.num_rows:
             a = settled.column("start").to_numpy().astype(np.int64)
             n = np.frombuffer(b"".join(settled.column("bytes").to_pylist()), "<u4")
-            yield from _spans(settled.column("doc").to_numpy(), a, a + n)
+            rank, docs, owns = _ranks(settled.column("doc").to_numpy(), settled.column("own").to_numpy())
+            yield from _spans(rank, a, a + n, docs, owns)
         batch = batch.filter(pc.equal(batch.column("kind"), 0))
-        for key, doc, start, text in zip(*(batch.column(n).to_pylist() for n in ("key", "doc", "start", "bytes"))):
-            if size >= SHARDS * SHARD and key != keys[-1]:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        total = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
+        lo = 0
+        for i in [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]:  # an anchor begins here
+            have = size + (total[i - 1] if i else 0) - (total[lo - 1] if lo else 0)
+            if have >= SHARDS * SHARD and key[i] != (key[i - 1] if i else last):
+                held.append(batch.slice(lo, i - lo))
                 yield from flush()
-                keys, docs, starts, texts, size = [], [], [], [], 0
-            keys.append(key)
-            docs.append(doc)
-            starts.append(start)
-            texts.append(text)
-            size += len(text)
+                held, size, lo = [], 0, i
+        held.append(batch.slice(lo))
+        size += int(total[-1] - (total[lo - 1] if lo else 0))
+        last = key[-1]
     yield from flush()
 
 
-def _spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(doc):
+def _spans(rank: np.ndarray, a: np.ndarray, b: np.ndarray, docs: np.ndarray, owns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(rank):
         return
-    o = np.lexsort((a, doc))
-    doc, both = doc[o], np.stack([a[o], b[o]], axis=1).astype(np.int32)
-    cut = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
-    yield pa.RecordBatch.from_arrays([pa.array(doc[cut[:-1]]), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "spans"])
+    o = np.lexsort((a, rank))
+    rank, both = rank[o], np.stack([a[o], b[o]], axis=1).astype(np.int32)
+    cut = np.append(np.flatnonzero(np.append(True, rank[1:] != rank[:-1])), len(rank))
+    own = rank[cut[:-1]]
+    yield pa.RecordBatch.from_arrays([pa.array(docs[own]), pa.array(owns[own]), pa.array([both[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "text_key", "spans"])
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -504,33 +511,39 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed, n_spans = int((b - a).sum()), len(a)
             out.append((len(raw), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
         n = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))] if out else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *n], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        kept = pc.if_else(batch.column("absent"), None, n.pop())
+        rest = [c for c in batch.schema.names if c.startswith("carry_")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *n, kept, batch.column("text_key"), *[batch.column(c) for c in rest]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_key", *rest])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, text_key, and the columns to carry
+    under ``carry_<name>``.
 
-    ``docs`` has doc_id and text; other columns are ignored. A null text is empty. Documents under SIZE bytes lose
-    nothing. Repeated rows of one doc_id with one text are the same document and have equal results; a null doc_id
-    comes after all others. kept_text drops bytes of a character that was cut; kept_sha256 is of the exact bytes.
+    ``docs`` has doc_id and text; other columns are ignored. A null text is empty, its kept_text null. Documents under SIZE
+    bytes lose nothing. Documents are told apart and ordered by (doc_id, hash of the text): two texts under one id are two
+    documents; repeated rows of one id with one text are the same document and have equal results. Null ids come after all
+    others. kept_text drops bytes of a character that was cut; kept_sha256 is of the exact bytes. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch, n = Scratch(spark), partitions(spark)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    carried = [F.col(c).alias(f"carry_{c}") for c in carry or []]
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").isNull().alias("absent"), *carried)
     base = base.withColumn("text_key", F.xxhash64("text"))
     names = scratch.cut(base.select("doc_id", "text_key", F.md5(F.col("text").cast("binary")).alias("md5")))
     firsts = scratch.cut(names.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("text_key").alias("text_key")))
-    copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select(F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key")).distinct()
+    copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select("doc_id", "text_key").distinct()
     # one exchange for both passes: left joins alone, so that nothing is pushed below it in one of them
-    texts = base.repartition("doc_id")
+    texts = base.repartition("doc_id", "text_key")
     found = base.select("text_key", "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
     places = found.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
-    places = places.join(firsts, "text_key").select(F.col("first").alias("doc_id"), F.col("text_key").alias("place_key"), "spans")
-    runs = texts.join(places, "doc_id", "left").select("doc_id", "text", "text_key", "place_key", "spans").mapInArrow(_runs, RUN)
+    places = places.join(firsts, "text_key").groupBy(F.col("first").alias("doc_id"), "text_key").agg(F.first("spans").alias("spans"))
+    runs = texts.join(places, ["doc_id", "text_key"], "left").select("doc_id", "text", "text_key", "spans").mapInArrow(_runs, RUN)
     spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
-    # spans and copy marks come together, so that the texts are joined once, by doc_id alone
-    marks = spans.select("doc_id", "spans", F.lit(None).cast("long").alias("c_key")).unionByName(copies.select(F.col("c_id").alias("doc_id"), F.lit(None).cast("binary").alias("spans"), "c_key"))
-    gone = marks.groupBy("doc_id").agg(F.collect_list("spans").alias("spans"), F.collect_list("c_key").alias("c_keys"))
-    whole = texts.join(gone, "doc_id", "left").select("doc_id", "text", "spans", F.coalesce(F.array_contains("c_keys", F.col("text_key")), F.lit(False)).alias("copy"))
-    out = whole.mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    # spans and copy marks come together, so that the texts are joined once
+    marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
+    gone = marks.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"), F.max("copy").alias("copy"))
+    whole = texts.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), "absent", "text_key", *[F.col(f"carry_{c}") for c in carry or []])
+    extra = "".join(f", {f.name} {f.dataType.simpleString()}" for f in whole.schema.fields if f.name.startswith("carry_"))
+    out = whole.mapInArrow(_finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, text_key long{extra}")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
