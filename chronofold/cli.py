@@ -5,14 +5,15 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from chronofold.plans.config import load_project
+from chronofold.plans.config import SourceConfig, load_project
 from chronofold.plans.runner import Projector, counters, event_report
 from chronofold.sinks.store import SnapshotStore
-from chronofold.sources.envelope import split_envelopes
-from chronofold.sources.files import load_event, stdin_lines
+from chronofold.sources.files import load_event
 
 
 def _show(x: dict, form: str) -> None:
@@ -53,13 +54,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         _show({r.adapter_id: r.reason or r.outcome for r in rows}, a.output)
         return int(any(r.outcome == "failed" for r in rows))
     store = SnapshotStore(spark, a.store)
-    if a.event or a.stdin:
-        events = load_event(spark, a.event) if a.event else split_envelopes(stdin_lines(spark))[0]
-        outcomes = projector.commit(events, store, store.batch_id + 1, dlq=a.dlq)
+    Path(f"{a.store}/sinks").mkdir(parents=True, exist_ok=True)
+    sinks = projector.build_sinks(f"{a.store}/sinks")
+    if a.stdin:
+        projector.project = replace(projector.project, config=replace(projector.project.config, sources=(SourceConfig("stdin", "stdin"),)))
+    if a.event:
+        outcomes = projector.commit(load_event(spark, a.event), store, store.last_batch() + 1, sinks, a.dlq)
         failed = event_report(outcomes).where("status = 'failed'").count()
         _show(counters(outcomes).first().asDict(), a.output)
         return int(failed > 0)
-    report = projector.run_sources(store, a.state_dir, a.dlq, a.max_batch, continuous=not a.once)
+    report = projector.run_sources(store, a.state_dir, a.dlq, a.max_batch, continuous=not a.once and not a.stdin, sinks=sinks)
     _show(report, a.output)
     parked = sum(b["dlq"] for b in report["batches"])
     return int(report["stopped"] == "retry_exhausted" or sum(b.get("failed", 0) for b in report["batches"]) > parked)

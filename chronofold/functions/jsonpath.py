@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import json
 
 from pyspark.sql import Column
@@ -58,6 +60,11 @@ def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_-]", "_")
 
 
+def file_safe(name: str) -> str:
+    """The same for a name that the driver holds."""
+    return re.sub("[^A-Za-z0-9_-]", "_", name)
+
+
 def template(node, payload: Column, metadata: Column, leaves: list[Column]) -> Column:
     """A template as VARIANT: string leaves are paths, others literals. Path columns are appended to ``leaves``."""
     if isinstance(node, dict):

@@ -52,18 +52,17 @@ def write_columns(m: Mapping, payload: Column, metadata: Column) -> dict[str, Co
     return {"entity_key": key, "body": F.when(F.lit(m.operation == "upsert"), body), "ends": ends, "build_error": error}
 
 
-def project(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> DataFrame:
-    """Envelope rows of mapped event types with the PROJECTED columns added.
+NAMES = ("target", "entity_key", "facet", "operation", "mode", "permanent", "body", "ends", "projected_version", "unsupported", "build_error")
+TYPES = {"permanent": "boolean", "unsupported": "boolean", "projected_version": "int"}
+
+
+def projection(mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> dict[str, Column]:
+    """Columns of the write that an event makes by the mapping of its type: each is one CASE over the event types.
 
-    ``events`` has ``parsed``, the payload as VARIANT. One pass: each column is one CASE over the event
-    types, so the log is neither scanned nor shuffled per mapping.
+    Reads event_type, version, metadata and ``parsed``, the payload as VARIANT. An event type without a mapping has null columns.
     """
     upcasters = upcasters or UpcasterRegistry()
-    names = ("target", "entity_key", "facet", "operation", "mode", "permanent", "body", "ends", "projected_version", "unsupported", "build_error")
-    if not mappings:
-        nothing = {n: F.lit(None).cast({"permanent": "boolean", "unsupported": "boolean", "projected_version": "int"}.get(n, "string")) for n in names}
-        return events.where(F.lit(False)).withColumns({"adapter_kind": F.lit(kind)} | nothing)
-    cases: dict[str, Column | None] = dict.fromkeys(names)
+    cases: dict[str, Column] = {}
     for event_type, m in mappings.items():
         here = F.col("event_type") == event_type
         payload, unsupported, why = upcasters.apply(event_type, F.col("version"), m.version, F.col("parsed"))
@@ -72,9 +71,15 @@ def project(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcaster
             "target": F.lit(m.target), "facet": F.lit(m.facet or ""), "operation": F.lit(m.operation), "mode": F.lit(m.mode), "permanent": F.lit(m.permanent),
             "projected_version": F.lit(m.version), "unsupported": unsupported, "build_error": F.when(unsupported, why).otherwise(own["build_error"]),
         }
-        for n in names:
-            cases[n] = F.when(here, own[n]) if cases[n] is None else cases[n].when(here, own[n])
-    return events.where(F.col("event_type").isin(list(mappings))).withColumns({"adapter_kind": F.lit(kind)} | cases)
+        for n in NAMES:
+            cases[n] = cases[n].when(here, own[n]) if n in cases else F.when(here, own[n])
+    return {n: (cases[n] if n in cases else F.lit(None)).cast(TYPES.get(n, "string")) for n in NAMES}
+
+
+def project(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> DataFrame:
+    """Envelope rows of mapped event types with the PROJECTED columns added. ``events`` has ``parsed``."""
+    here = F.col("event_type").isin(list(mappings)) if mappings else F.lit(False)
+    return events.where(here).withColumns({"adapter_kind": F.lit(kind)} | projection(mappings, upcasters))
 
 
 def preview(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> DataFrame:

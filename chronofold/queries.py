@@ -214,8 +214,7 @@ def composite_key_rows(spark, d):
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) event_id", "'Line' event_type", "to_json(named_struct('o', l_orderkey, 'n', l_linenumber, 'q', l_quantity)) payload", "cast(map() as map<string,string>) metadata",
         "1 version", "cast((l_partkey * 1000000 + l_suppkey) * 100 + cast(l_quantity as bigint) as decimal(20,0)) sequence", "'l' source_id", "'' position", "cast(0 as bigint) line_no", "cast(0 as bigint) batch_id")
     writes = fold.fold_input(projector(spark, [("sql", m)]).projected(e))
-    n = writes.groupBy("entity_key").agg(F.count("*").alias("n"))
-    return fold.latest_fold(writes).join(n, "entity_key").select("entity_key", F.get_json_object("body", "$.q").cast("double").alias("l_quantity"), "n")
+    return fold.latest_fold(writes).select("entity_key", F.get_json_object("body", "$.q").cast("double").alias("l_quantity"), F.col("n_events").alias("n"))
 
 
 @query("SELECT '[' || conv_id || ',' || turn || ']' AS entity_key, role, length(text) AS n_chars FROM conversations")

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from chronofold.model import ENVELOPE
 from chronofold.sources.envelope import require_all, split_envelopes
+from chronofold.sources.stream import LINES, EventFiles, event_files
 
 MAX_BATCH = 256
-#: Suffixes of the directory source; replay of a directory takes .json only.
-SUFFIXES = r"(?i)\.(json|ndjson|jsonl)$"
+LOOK = 64  # files that a poll counts at once
 
 
 def _numbered(df: DataFrame, source_id: str, batch_id: int = 0) -> DataFrame:
@@ -23,7 +23,9 @@ def _numbered(df: DataFrame, source_id: str, batch_id: int = 0) -> DataFrame:
     return df.select("value", F.lit(source_id).alias("source_id"), F.col("_metadata.file_name").alias("position"), (F.col("_metadata.file_block_start") + row).alias("line_no"), F.lit(batch_id).cast("long").alias("batch_id"))
 
 
-def read_lines(spark: SparkSession, path: str, source_id: str = "directory", batch_id: int = 0) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], source_id: str = "directory", batch_id: int = 0) -> DataFrame:
+    if not path:
+        return spark.createDataFrame([], LINES)
     return _numbered(spark.read.text(path), source_id, batch_id)
 
 
@@ -58,37 +60,62 @@ def load_event(spark: SparkSession, path: str) -> DataFrame:
 def directory_batch(spark: SparkSession, path: str, committed: str | None = None, max_batch: int = MAX_BATCH, source_id: str = "directory", batch_id: int = 0) -> tuple[DataFrame, DataFrame, str | None]:
     """(events, rejects, last file) of the next batch after the committed file.
 
-    Whole files in name order until ``max_batch`` events are reached, one file at least.
+    Whole files in name order until ``max_batch`` events are reached, one file at least. Names are listed; only the next files,
+    ``LOOK`` at a time, are read to count their lines.
     """
-    lines = read_lines(spark, path, source_id, batch_id).where(F.col("position").rlike(SUFFIXES))
-    if committed is not None:
-        lines = lines.where(F.col("position") > committed)
-    end, total = None, 0
-    counts = lines.where("trim(value) != ''").groupBy("position").count().orderBy("position").limit(max(1, max_batch))
-    for r in counts.collect():  # max_batch rows at most
-        if end is not None and total >= max_batch:
-            break
-        end, total = r.position, total + r["count"]
-    events, rejects = split_envelopes(lines.where(F.col("position") <= F.lit(end)))
+    names = [n for n in event_files(path) if committed is None or n > committed]
+    end, total, i = None, 0, 0
+    while i < len(names) and total < max_batch:
+        block = names[i : i + LOOK]
+        lines = read_lines(spark, [f"{path.rstrip('/')}/{n}" for n in block]).where("trim(value) != ''")
+        counts = {r.position: r["count"] for r in lines.groupBy("position").count().collect()}  # LOOK rows at most
+        for n in block:
+            if total >= max_batch:
+                break
+            if counts.get(n):  # files without an event are passed over
+                end, total = n, total + counts[n]
+            i += 1
+    taken = [n for n in names if end is not None and n <= end]
+    lines = read_lines(spark, [f"{path.rstrip('/')}/{n}" for n in taken] if taken else [], source_id, batch_id)
+    events, rejects = split_envelopes(lines)
     return events, rejects, end
 
 
-def directory_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Unbounded directory source: raw lines with file name."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.{json,ndjson,jsonl}").load(path).select("value", F.col("_metadata.file_name").alias("position"), F.col("_metadata.file_block_start").alias("block"))
+def numbered_stream(spark: SparkSession, path: str, files_per_batch: int = 100, source_id: str = "stream", limit: int = 0) -> DataFrame:
+    """Unbounded directory source in name order: lines with file name, line number and ``batch_id``.
 
-
-def numbered_stream(spark: SparkSession, path: str, files_per_trigger: int = 100, source_id: str = "stream") -> DataFrame:
-    """Unbounded directory source with line numbers, as the stateful fold needs them. A file is one row first, so it must fit a task."""
-    whole = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.{json,ndjson,jsonl}").load(path)
-    lines = whole.select(F.col("_metadata.file_name").alias("position"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-    return lines.select("value", F.lit(source_id).alias("source_id"), "position", F.col("line_no").cast("long").alias("line_no"), F.lit(0).cast("long").alias("batch_id"))
+    ``files_per_batch`` files in name order have one batch_id, whatever micro-batch they come in. ``limit``: files that a
+    micro-batch takes at most (none: all that are there, as a run until caught up needs).
+    """
+    spark.dataSource.register(EventFiles)
+    return spark.readStream.format(EventFiles.name()).options(path=path, group=files_per_batch, sourceId=source_id, limit=limit).load()
 
 
 def stdin_lines(spark: SparkSession, stream: Iterable[str] | None = None, source_id: str = "stdin", batch_id: int = 0) -> DataFrame:
     """Lines of stdin; the position is the zero-padded line index, blank lines use one up."""
     rows = [(x.rstrip("\n"), source_id, f"{i:012d}", i, batch_id) for i, x in enumerate(sys.stdin if stream is None else stream)]
-    return spark.createDataFrame(rows, "value string, source_id string, position string, line_no long, batch_id long")
+    return spark.createDataFrame(rows, LINES)
+
+
+class StdinLines:
+    """Stdin as a source of batches: ``max_batch`` lines are held at a time. Lines up to the committed position are passed over."""
+
+    def __init__(self, stream: Iterable[str] | None = None):
+        self.lines = enumerate(sys.stdin if stream is None else stream)
+        self.held: tuple[str, list] | None = None
+
+    def batch(self, spark: SparkSession, committed: str | None = None, max_batch: int = MAX_BATCH, source_id: str = "stdin") -> tuple[DataFrame, DataFrame, str | None]:
+        if self.held is None or (committed is not None and self.held[0] <= committed):
+            rows = []
+            for i, x in self.lines:
+                at = f"{i:012d}"
+                if x.strip() and (committed is None or at > committed):
+                    rows.append((x.rstrip("\n"), source_id, at, i, 0))
+                    if len(rows) >= max_batch:
+                        break
+            self.held = (rows[-1][2], rows) if rows else None  # an uncommitted batch comes again
+        events, rejects = split_envelopes(spark.createDataFrame(self.held[1] if self.held else [], LINES))
+        return events, rejects, self.held[0] if self.held else None
 
 
 def from_rows(spark: SparkSession, events: list[dict], batch_id: int = 0) -> DataFrame:

@@ -6,34 +6,37 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from chronofold.functions import jsonpath as J
 from chronofold.operators.decide import Entity
 from chronofold.operators.fold import ORDER
 from chronofold.plans.runner import Projector
 from chronofold.sinks.store import SnapshotStore
 from chronofold.sources.envelope import split_envelopes
-from chronofold.sources.files import directory_stream
+from chronofold.sources.files import numbered_stream
 
 LIVE_OUT = "adapter_id string, target string, entity_key string, event_id string, seq long, outcome string, reason string, live boolean, body string"
 
 
-def numbered(lines: DataFrame, source_id: str, batch_id: int) -> DataFrame:
-    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return lines.select("value", F.lit(source_id).alias("source_id"), "position", (F.coalesce("block", F.lit(0)) + row).alias("line_no"), F.lit(batch_id).cast("long").alias("batch_id"))
-
-
-def run_stream(projector: Projector, path: str, store: SnapshotStore, checkpoint: str, once: bool = True, dlq: str | None = None, files_per_trigger: int = 100, sinks: dict | None = None) -> StreamingQuery:
-    """Directory stream into the store. The store skips a batch id it has, so a repeated micro-batch changes nothing."""
+def run_stream(projector: Projector, path: str, store: SnapshotStore, checkpoint: str, once: bool = True, dlq: str | None = None, files_per_trigger: int = 100, sinks: dict | None = None, source_id: str = "stream", retries: int = 3) -> StreamingQuery:
+    """Directory stream, in name order, into the store. The store skips a batch id that it has of this source, so a repeated micro-batch
+    changes nothing. Without a DLQ a failing event or a malformed line stops the query before anything of its batch is written."""
 
     def each(lines: DataFrame, batch_id: int) -> None:
-        events, rejects = split_envelopes(numbered(lines, "stream", batch_id))
-        projector.commit(events, store, batch_id, sinks, dlq).unpersist()
-        if dlq:
-            rejects.write.mode("append").json(f"{dlq}/rejects")
-
-    out = directory_stream(projector.spark, path, files_per_trigger).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        lines = lines.persist()
+        try:
+            events, rejects = split_envelopes(lines)
+            if not dlq and (rejects.limit(1).count() or projector.projected(events).where("failed").limit(1).count()):
+                raise RuntimeError(f"batch {batch_id} of {source_id} has failures and there is no dead-letter folder")
+            if dlq and rejects.limit(1).count():
+                rejects.write.mode("overwrite").json(f"{dlq}/rejects/{J.file_safe(source_id)}/{batch_id}")
+            projector.commit(events, store, batch_id, sinks, dlq, source_id, retries, ordered=True).unpersist()
+        finally:
+            lines.unpersist()
+
+    lines = numbered_stream(projector.spark, path, files_per_trigger, source_id, 0 if once else files_per_trigger)
+    out = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="1 second")).start()
 
 
