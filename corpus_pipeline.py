@@ -14,15 +14,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, in one pass over the texts: the verdict comes with the columns."""
+    """Documents that the quality rules keep, in one pass over the texts: the verdict comes with the columns.
+
+    Null and empty texts fail the base rules and go; a null id or language stays as it is; repeated rows are judged each for itself;
+    other columns than those of documents go; an empty table gives no rows.
+    """
     return quality.judge(docs, carry=COLUMNS).where("kept").select(*[F.col(f"carry_{c}").alias(c) for c in COLUMNS])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id (of repeated rows of it, one).
 
-    Rows are told apart by id and text, so that two texts under one id are judged each for itself.
+    Rows are told apart by id and text, so that two texts under one id are judged each for itself. Null and empty texts link
+    with nothing and stay; a null id is never the smallest; other columns go; an empty table gives no rows.
     """
+    docs = docs.select(*COLUMNS)
     rows = minhash.near_duplicates(docs, percent=NEAR).groupBy("doc_id", "text_key").agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     out = Scratch(spark).cut(rows.where("not kept or n > 1").select(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key"), "kept"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("near_key"))
@@ -34,20 +40,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that occur earlier in the corpus; n_chars is of what is left."""
-    cut = suffix.remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("c_id"), F.col("kept_text")).dropDuplicates(["c_id"])
-    rows = docs.join(cut, F.col("doc_id") == F.col("c_id"), "left")
-    text = F.coalesce("kept_text", "text")
-    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("c_id").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long").alias("n_chars"))
+    """Texts without the bytes that occur earlier in the corpus; n_chars is of what is left.
+
+    Every row comes out with its own text: rows are told apart by id and text, null ids are cut as well. A null or empty
+    text stays as it is, repeated rows lose the same spans, other columns go; an empty table gives no rows.
+    """
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    out = suffix.remove_repeats(docs, carry=rest)
+    cut = F.col("n_removed") > 0
+    left = {c: F.col(f"carry_{c}").alias(c) for c in rest}
+    left["n_chars"] = F.when(cut, F.length("kept_text")).otherwise(F.col("carry_n_chars")).cast("long").alias("n_chars")
+    return out.select("doc_id", F.col("kept_text").alias("text"), *[left[c] for c in rest])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, those of light sources again as the mixture's weights ask."""
-    return mixing.mixed_documents(docs).select(*COLUMNS)
+    """Every document once, those of light sources again as the mixture's weights ask.
+
+    A null source is a source of its own, null and empty texts take a place, repeated rows are documents of their own; other
+    columns go; an empty table gives no rows.
+    """
+    return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every row: none for a null or empty text, null ids stay null, repeated rows are encoded each for itself; an empty
+    table gives no rows."""
     return pieces.tokenize(docs)
 
 
@@ -57,6 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table documents, each written as Parquet and read again by the next; the last one's rows.
+
+    Documents may have other columns and nulls anywhere; an empty table gives no rows.
+    """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
