@@ -97,8 +97,13 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT) -> Da
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents, each as often as the mixture reads it; columns as they were."""
-    copies = mix(docs).groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"), F.count_if(F.col("epoch") == 0).alias("rows_"))
-    each = copies.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.ceil(F.col("copies") / F.col("rows_")).cast("int").alias("copies"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("m_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("m_key"))
-    return docs.join(each, on).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The documents, each as often as the mixture reads it; columns as they were, whatever their names.
+
+    Rows are told apart by id and text: a null id and a null text match themselves, repeated rows are read as often as each of them
+    would be. An empty table gives no rows.
+    """
+    copies = mix(docs).groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
+    each = copies.select(F.struct(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.ceil(F.col("n") / F.col("rows")).cast("int").alias("n")).alias("mix"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    both = rows.join(each, F.col("id").eqNullSafe(F.col("mix.id")) & (F.col("key") == F.col("mix.key")))
+    return both.select("doc", F.explode(F.sequence(F.lit(1), F.col("mix.n")))).select("doc.*")

@@ -77,3 +77,50 @@ def test_stages_after_near_copies_from_80_percent(spark):
     s4 = cp.mix_sources(spark, spark.createDataFrame(s3), D).collect()
     out = cp.run(spark, D).collect()
     assert set(Counter(r.doc_id for r in s4)) == want and Counter(r.doc_id for r in out) == Counter(r.doc_id for r in s4)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copies int, kept string, near_id long, spans binary, id int, mix string"
+
+
+def odd(spark, rows):
+    """Documents with columns whose names the stages use themselves."""
+    return spark.createDataFrame([(d, t, lang, src, None if t is None else len(t), 7, "no", 1, b"x", 3, "m") for d, t, lang, src in rows], SCHEMA)
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def test_suffix_stage_keeps_every_text(spark):
+    """Two texts under one id, repeated rows, null ids, a null and an empty text."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (5, a + " tail one"), (5, b), (None, c + " " + a), (None, b + " end"), (7, None), (8, ""), (9, c), (9, c), (2, "short")]
+    docs = odd(spark, [(d, t, "en", None) for d, t in rows])
+    out = cp.suffix_dedup(spark, docs, D)
+    got = Counter((r.doc_id, r.text, r.n_chars) for r in out.collect())
+    want = Counter({(1, a): 1, (5, " tail one"): 1, (5, b): 1, (None, " "): 1, (None, " end"): 1, (7, None): 1, (8, ""): 1, (9, c): 2, (2, "short"): 1})
+    assert out.columns == cp.COLUMNS and got == Counter({(d, t, None if t is None else len(t)): n for (d, t), n in want.items()})
+    assert cp.suffix_dedup(spark, docs.limit(0), D).count() == 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, ties, clashing names, a text beyond a chunk, and empty tables, through every stage."""
+    long = prose(9, 120_000)
+    rows = [(None, prose(4, 40), None, None), (3, prose(5, 40), "en", "s"), (3, prose(6, 40), "en", "s"), (3, prose(6, 40), "en", "s"), (4, prose(6, 40), "xx", None), (5, None, None, "s"), (6, "", "en", "t"), (7, long, "en", "t")]
+    docs = odd(spark, rows)
+    now, left = docs, {}
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), D).count() == 0
+        if name != "sentencepiece":
+            now = stage(spark, now, D)
+            assert now.columns == cp.COLUMNS
+            left[name] = Counter((r.doc_id, r.text) for r in now.collect())
+    assert left["quality_rules"] == Counter((d, t) for d, t, *_ in rows if t)
+    want = Counter((d, t) for d, t, *_ in rows[:3] + rows[7:])
+    assert left["minhash_near_dedup"] == left["suffix_array_dedup"] == want and set(left["mixing"]) == set(want)
+    for folder, table in (("odd", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+    out = cp.run(spark, f"{tmp_path}/odd").collect()
+    assert Counter(r.doc_id for r in out) == Counter(d for (d, _), n in left["mixing"].items() for _ in range(n)) and all(r.round_trip for r in out)
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
