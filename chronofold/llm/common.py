@@ -279,11 +279,33 @@ def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     return scratch.cut(out) if len(steps) > 1 else out
 
 
+LEVEL = 1024  # buckets that are summed together before sums are summed on
+
+
+def running_offsets(sums: DataFrame, keys: list[str], at: str, n: str, name: str) -> DataFrame:
+    """Adds the sum of ``n`` over all rows of ``keys`` with a smaller ``at`` (a number from 0, one row each).
+
+    In two levels: a window task holds LEVEL rows, or one row for every LEVEL.
+    """
+    from pyspark.sql import Window
+
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sums.withColumn("_level", F.floor(F.col(at) / LEVEL))
+    upper = rows.groupBy(*keys, "_level").agg(F.sum(n).alias("_sum"))
+    upper = upper.withColumn("_below", F.coalesce(F.sum("_sum").over(before(*keys).orderBy("_level")), F.lit(0)))
+    upper = upper.select(*[F.col(k).alias(f"_u{k}") for k in keys], F.col("_level").alias("_u"), "_below")
+    on = F.col("_level") == F.col("_u")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_u{k}"))
+    inner = F.coalesce(F.sum(n).over(before(*keys, "_level").orderBy(at)), F.lit(0))
+    return rows.withColumn("_inner", inner).join(upper, on).select(*sums.columns, (F.col("_inner") + F.col("_below")).cast("long").alias(name))
+
+
 def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], scratch_rows: int = 1024, name: str = "rank") -> DataFrame:
     """Adds a gapless rank from 0 within ``keys`` in the order of ``order`` buckets, without one task per key.
 
     Rows fall into hash buckets of their order columns; ranks are counted per (key, bucket) and offset by
-    a running sum over the buckets. The order of rows is by bucket, then by ``order``: fixed, but not sorted.
+    a running sum over the buckets, in two levels. The order of rows is by bucket, then by ``order``: fixed, but not sorted.
     Bucket count grows with the table: about ``scratch_rows`` rows each.
     """
     from pyspark.sql import Window
@@ -292,7 +314,7 @@ def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], scratch_r
     n = max(1, total // scratch_rows)
     rows = df.withColumn("_b", F.pmod(F.xxhash64(*order, F.lit(97)), F.lit(n)).cast("int"))
     sums = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
-    offsets = sums.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("_b").alias("_c"), "_o")
+    offsets = running_offsets(sums, keys, "_b", "_n", "_o").select(*[F.col(k).alias(f"_k{k}") for k in keys], F.col("_b").alias("_c"), "_o")
     inner = Window.partitionBy(*keys, "_b").orderBy(*order)
     ranked = rows.withColumn("_r", F.row_number().over(inner) - 1)
     on = F.col("_b") == F.col("_c")

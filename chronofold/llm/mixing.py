@@ -88,8 +88,15 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT) -> Da
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64(key, F.lit(3)), F.col("n_blocks")).cast("int")).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("epochs").cast("int") - 1)))
     sums = rows.join(plan.select("source", "tokens", "n_blocks", "epochs"), "source").groupBy("source", "tokens", "epochs", F.pmod(F.xxhash64(key, F.lit(3)), F.col("n_blocks")).cast("int").alias("block")).agg(F.sum("n_tokens").alias("in_block"))
     sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("epochs").cast("int") - 1)))
-    over = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "block", "epoch"), "block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    starts = sums.select("source", "epoch", "block", (F.coalesce(F.sum("in_block").over(over), F.lit(0)) + F.col("epoch") * F.col("tokens")).alias("block_offset"))
+    # blocks in the order of a hash of the epoch: cut into bands by it, so that a window task holds a band of about 1024 blocks
+    bands = plan.select("source", F.greatest(F.lit(1), F.floor(F.col("n_blocks") / 1024)).cast("long").alias("n_bands"))
+    hashed = sums.join(bands, "source").withColumn("h", F.shiftrightunsigned(F.xxhash64("source", "block", "epoch"), 1))
+    hashed = hashed.withColumn("band", F.floor(F.col("h") / F.lit(float(1 << 63)) * F.col("n_bands")))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    below = hashed.groupBy("source", "epoch", "band").agg(F.sum("in_block").alias("in_band"))
+    below = below.select("source", "epoch", "band", F.coalesce(F.sum("in_band").over(before("source", "epoch").orderBy("band")), F.lit(0)).alias("below"))  # one row per band
+    within = F.coalesce(F.sum("in_block").over(before("source", "epoch", "band").orderBy("h", "block")), F.lit(0))
+    starts = hashed.withColumn("within", within).join(below, ["source", "epoch", "band"]).select("source", "epoch", "block", (F.col("within") + F.col("below") + F.col("epoch") * F.col("tokens")).alias("block_offset"))
     inner = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64(key, F.col("epoch")), "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("before", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).join(starts, ["source", "epoch", "block"])
     placed = placed.withColumn("token_offset", F.col("before") + F.col("block_offset")).where(F.col("token_offset") < F.col("budget"))

@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation: equal texts move together while shards keep equal row counts.
 
 Law ``rows``: shard sizes are at most one apart. Documents with equal texts are linked. They start on shards by a
-hash of their id; in each round, until no move is accepted, the rows that a group has on its lesser shards move to where most of it is, as far
-as the quotas allow: a shard takes in what its room and the rows that leave it make up for. A group beyond one shard's share gets as many
-shards as it fills. Rows of one group on one shard are alike, so propagation runs on (group, shard, count) cells: 40
+hash of their id. In each round, until no move is accepted, a join over the links tells every linked row where its neighbours
+are: rows on the lesser shards of a group move to where most of it is, as far as the quotas allow: a shard takes in what
+its room and the rows that leave it make up for. A group beyond one shard's share gets as many shards as it fills. Rows of one group on one shard are alike, so propagation runs on (group, shard, count) cells: 40
 a group at most, however large the group. Unlinked documents cost no cut edges wherever they are; they fill what the
 groups leave. DataFrame functions only.
 """
@@ -48,16 +48,18 @@ def propagate(cells: DataFrame, quota: list[int], scratch: Scratch, rounds: int
         load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [q - load.get(s, 0) for s, q in enumerate(quota)]
         quota_of = F.element_at(F.array(*[F.lit(max(1, q)).cast("long") for q in quota]), F.col("shard") + 1)
-        group = Window.partitionBy("g")  # one row per shard
-        ranked = cells.withColumn("quota", quota_of).withColumn("whole", F.sum("n").over(group))
-        # where the group is most comes first; its shards are targets until their quotas hold the group
-        order = group.orderBy(F.desc("n"), F.xxhash64("g", "shard"))
-        before = F.coalesce(F.sum("quota").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.withColumn("target", before < F.col("whole")).withColumn("place", F.row_number().over(order))
-        targets = F.array_sort(F.collect_list(F.when(F.col("target"), F.struct("place", "shard"))).over(group))
-        moves = ranked.withColumn("targets", targets).where(~F.col("target"))
+        # neighbours' votes: each group's shards, those where most of it is first (one entry per shard)
+        votes = cells.select("g", F.struct((-F.col("n")).alias("less"), F.xxhash64("g", "shard").alias("tie"), "shard", "n", quota_of.alias("quota")).alias("vote"))
+        votes = votes.groupBy("g").agg(F.array_sort(F.collect_list("vote")).alias("votes"))
+        # its shards are targets until their quotas hold the group
+        whole = F.aggregate("votes", F.lit(0).cast("long"), lambda s, v: s + v["n"])
+        none = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("to"))
+        targets = F.aggregate("votes", none, lambda s, v: F.when(s["held"] < F.col("whole"), F.struct((s["held"] + v["quota"]).alias("held"), F.array_append(s["to"], v["shard"]).alias("to"))).otherwise(s), lambda s: s["to"])
+        wanted = votes.withColumn("whole", whole).select("g", targets.alias("targets")).where(F.size("targets") < F.size("votes"))
+        # every cell looks up what its neighbours want, by a join over the links
+        moves = cells.join(wanted, "g").where(~F.array_contains("targets", F.col("shard")))
         to = F.element_at("targets", (F.pmod(F.xxhash64("g", "shard", F.lit(turn)), F.size("targets")) + 1).cast("int"))
-        moves = scratch.cut(moves.select("g", "shard", "n", to["shard"].alias("to")))
+        moves = scratch.cut(moves.select("g", "shard", "n", to.alias("to")))
         flows = [(r["shard"], r["to"], r["n"]) for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()]  # shards^2 at most
         if not flows:
             break
