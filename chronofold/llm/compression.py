@@ -1,9 +1,9 @@
 """Quality classifier by compression: a text that a dictionary of good texts shortens more is likely good.
 
 Fitted on at most ``SAMPLE`` labelled documents of each class that are not held out (the first by a hash of the id;
-texts of up to ``TEXT_LIMIT`` bytes). From one half two zstandard dictionaries are trained; on the other half the
-compressed-size difference per byte is calibrated by logistic regression. Scoring compresses every whole text with
-both dictionaries in blocks, so a long text is read to its end with a warm dictionary.
+texts of up to ``TEXT_LIMIT`` bytes). The texts of one half are two zstandard dictionaries, as content, of equal size; on the
+other half the compressed-size difference, normalised by the text's bytes, is calibrated by logistic regression. Scoring
+compresses every whole text with both dictionaries in blocks, so a long text is read to its end with a warm dictionary.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TEXT_LIMIT, DICTIONARY, BLOCK, LEVEL = 1500, 1 << 16, 1 << 16, 1 << 12, 3
+SAMPLE, TEXT_LIMIT, DICTIONARY, BLOCK, LEVEL = 1500, 1 << 14, 1 << 19, 1 << 12, 6
 FOLDS, CUT = 5, 0.3
 
 
@@ -26,41 +26,36 @@ FOLDS, CUT = 5, 0.3
 class Model:
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]  # of 1, the difference per byte, and the good size per byte
-    dictionary: int = DICTIONARY
+    weights: tuple[float, float]  # of 1 and the difference
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+
+
 class _Sizes:
-    def __init__(self, model_good: bytes, model_bad: bytes):
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
-        self.good, self.bad = make(model_good), make(model_bad)
+    def __init__(self, good: bytes, bad: bytes):
+        self.good, self.bad = _compressor(good), _compressor(bad)
 
-    def features(self, text: bytes) -> tuple[float, float]:
-        """(bad size - good size, good size) per byte; zeros for an empty text."""
+    def difference(self, text: bytes) -> float:
+        """(bad size - good size) per byte of the text; 0 for an empty text."""
         if not text:
-            return 0.0, 0.0
-        good = bad = 0
-        for i in range(0, len(text), BLOCK):
-            block = text[i : i + BLOCK]
-            good += len(self.good.compress(block))
-            bad += len(self.bad.compress(block))
-        return (bad - good) / len(text), good / len(text)
-
-
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Trained content where there is enough of it, else the texts themselves."""
-    pieces = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
-    raw = b"".join(pieces)
-    if len(raw) > 8 * DICTIONARY and len(pieces) > 64:
-        try:
-            return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return raw[-DICTIONARY:] or b"\n" * 8
+            return 0.0
+        blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
+        return sum(len(self.bad.compress(x)) - len(self.good.compress(x)) for x in blocks) / len(text)
+
+
+def _dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """Both as long as the shorter one may be; a class without texts has a few line breaks."""
+    whole = [b"".join(texts) or b"\n" * 8 for texts in (good, bad)]
+    n = min(DICTIONARY, *map(len, whole))
+    return tuple(x[-max(n, 8):] for x in whole)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -77,11 +72,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[bytes, int]]) -> Model:
     """Model of (text, label) rows: even rows make the dictionaries, odd ones the calibration."""
-    good, bad = _dictionary([t for t, y in rows[::2] if y == 1]), _dictionary([t for t, y in rows[::2] if y == 0])
+    good, bad = _dictionaries([t for t, y in rows[::2] if y == 1], [t for t, y in rows[::2] if y == 0])
     sizes = _Sizes(good, bad)
-    x = np.array([[1.0, *sizes.features(t)] for t, _ in rows[1::2]] or [[1.0, 0.0, 0.0]])
+    x = np.array([[1.0, sizes.difference(t)] for t, _ in rows[1::2]] or [[1.0, 0.0]])
     y = np.array([y for _, y in rows[1::2]] or [1.0], float)
-    scale = np.array([1.0, 50.0, 1.0])
+    scale = np.array([1.0, 50.0])
     return Model(good, bad, tuple(_logistic(x * scale, y) * scale))
 
 
@@ -103,7 +98,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _Sizes(model.good, model.bad)
         for batch in batches:
-            x = np.array([[1.0, *sizes.features((t or "").encode())] for t in batch.column("text").to_pylist()]).reshape(-1, 3)
+            x = np.array([[1.0, sizes.difference((t or "").encode())] for t in batch.column("text").to_pylist()]).reshape(-1, 2)
             p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
 
@@ -111,7 +106,9 @@ def _score(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted. Only the text is read; null is empty; any table size."""
+    """One row per document: doc_id, held_out, score, predicted. Only the text is read; null is empty and both have the score of no
+    difference; long texts are read to their end; repeated rows are scored each for itself; a null doc_id is not held out; an empty
+    table gives no rows."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     fold = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -10,6 +10,7 @@ five words is one shingle of all its words, looked for among the shingles of tha
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,6 +49,17 @@ TEMPLATES = {
 LINES = {"all-rights-reserved-line": "All rights reserved."}
 
 
+def templates_from(folder: str) -> dict[str, str]:
+    """Further templates: the text files of a folder by name, such as the licenses that a system keeps. Read by the driver."""
+    out = {}
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                out[name] = f.read()
+    return out
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     s, e, row = word_bounds(np.where(NOT_WORD[data], np.uint8(32), data), offsets)
@@ -127,7 +139,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """One row per license found: doc_id, license, word_start, word_end (words of letters and digits), containment.
 
     ``docs`` has doc_id and text; other columns are ignored. Null and empty texts and texts without a license give no rows;
-    repeated rows give their rows again; a null doc_id stays null.
+    repeated rows give their rows again; a null doc_id stays null; an empty table gives no rows. ``templates`` may be any texts: see
+    license_texts and templates_from.
     """
     items = tuple(sorted((templates or TEMPLATES).items()))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(items), "doc_id long, license string, word_start long, word_end long, containment double")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronofold.llm import chat, compression, licenses, minhash, mixing, pieces, projections, quality, sharding, suffix
+from chronofold.llm import chat, compression, license_texts, licenses, minhash, mixing, pieces, projections, quality, sharding, suffix
+from chronofold.llm.sql import SQL  # noqa: F401  read by the entry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(f):
@@ -33,17 +34,19 @@ def op2_balanced_sharding(spark, d):
 
 @query
 def op3_preference_formatting(spark, d):
-    return chat.preferences(table(spark, d, "conversations"))
+    out = chat.preferences(table(spark, d, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({c: spans(c) for c in ("chosen_spans", "rejected_spans")})
 
 
 @query
 def op4_quality_rules(spark, d):
-    return quality.judge(table(spark, d, "documents"))
+    return quality.judge(table(spark, d, "documents")).drop("class_distance", "word_distance")
 
 
 @query
 def op5_license_scan(spark, d):
-    return licenses.scan(table(spark, d, "documents"), licenses.TEMPLATES | licenses.LINES)
+    return licenses.scan(table(spark, d, "documents"), licenses.TEMPLATES | licenses.LINES | license_texts.TEXTS)
 
 
 @query
