@@ -533,12 +533,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     names = scratch.cut(base.select("doc_id", "text_key", F.md5(F.col("text").cast("binary")).alias("md5")))
     firsts = scratch.cut(names.groupBy("md5").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("text_key").alias("text_key")))
     copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select("doc_id", "text_key").distinct()
-    # one exchange for both passes: left joins alone, so that nothing is pushed below it in one of them
+    # one exchange for both passes: left joins alone and all columns in both, so that nothing is pushed below it in one of them
     texts = base.repartition("doc_id", "text_key")
     found = base.select("text_key", "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
     places = found.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
     places = places.join(firsts, "text_key").groupBy(F.col("first").alias("doc_id"), "text_key").agg(F.first("spans").alias("spans"))
-    runs = texts.join(places, ["doc_id", "text_key"], "left").select("doc_id", "text", "text_key", "spans").mapInArrow(_runs, RUN)
+    runs = texts.join(places, ["doc_id", "text_key"], "left").select(*texts.columns, "spans").mapInArrow(_runs, RUN)
     spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
     # spans and copy marks come together, so that the texts are joined once
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
