@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,10 +18,26 @@ def quoted_key(key: str) -> str:
     raise ValueError(f"a key with both kinds of quotes can't be addressed: {key!r}")
 
 
+def strict_json(value: Column) -> Column:
+    """A text as VARIANT if it is one JSON value and nothing else, else NULL.
+
+    The parser ignores what follows a value. So the text is parsed as the first entry of an array whose second is the text's
+    own hash: anything beyond the value would change the array.
+    """
+    end = F.xxhash64(value)
+    whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit(","), end.cast("string"), F.lit("]")))
+
+    def only(x: Column) -> Column:  # the lambda keeps the parse from being repeated
+        fine = (F.try_variant_get(x, "$[1]", "bigint") == end) & F.variant_get(x, "$[2]", "variant").isNull()
+        return F.when(fine, F.variant_get(x, "$[0]", "variant"))
+
+    return F.element_at(F.transform(F.array(whole), only), 1)
+
+
 def parsed_payload(payload: Column) -> Column:
     """The payload as VARIANT if it is a JSON object, else NULL."""
-    v = F.try_parse_json(payload)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    object_ = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return F.element_at(F.transform(F.array(strict_json(payload)), object_), 1)
 
 
 def resolve(path: str, payload: Column, metadata: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronofold.functions import jsonpath as J
 from chronofold.model import ENVELOPE, SEQUENCE
 
 U32 = (1 << 32) - 1
@@ -20,7 +21,7 @@ def split_envelopes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     Types are strict: payload is a JSON string, metadata an object of strings, sequence an unsigned
     integer; version may be missing (1). Unknown fields are ignored, blank lines skipped.
     """
-    rows = lines.where("trim(value) != ''").withColumn("v", F.try_parse_json("value"))
+    rows = lines.where("trim(value) != ''").select("*", F.explode(F.array(J.strict_json(F.col("value")))).alias("v"))
     v = F.col("v")
     seq, version = _kind(v, "sequence"), _kind(v, "version")
     seq_value = F.variant_get(v, "$.sequence", "variant")

@@ -1,5 +1,6 @@
 import pytest
 
+from chronofold import queries_io  # noqa: F401  registers its queries
 from chronofold.queries import QUERIES, SQL
 from tests.oracle import compare
 
