@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -22,9 +23,12 @@ SHINGLE = 5
 class Scratch:
     """Tables written to the shared folder that the session names in spark.checkpoint.dir; they cut lineage.
 
-    Without that setting a local session gets a temporary folder; a cluster session is an error.
+    Without that setting a local session gets a temporary folder; a cluster session is an error. Results read their tables when
+    they are used, so folders stay until ``remove``: whoever has written a result out may drop all that it was made from.
     """
 
+    open: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,6 +38,7 @@ class Scratch:
             root = _local_root()
         self.root = f"{root.rstrip('/')}/chronofold-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.open.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -51,6 +56,24 @@ class Scratch:
                     p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+    def remove(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        if self in Scratch.open:
+            Scratch.open.remove(self)
+
+
+@contextmanager
+def scratch_dropped() -> Iterator[None]:
+    """Removes the scratch folders that were opened inside, at the end. Results made inside must have been written out."""
+    before = list(Scratch.open)
+    try:
+        yield
+    finally:
+        for s in [s for s in Scratch.open if s not in before]:
+            s.remove()
+
+
 @lru_cache(1)
 def _local_root() -> str:
     return tempfile.mkdtemp(prefix="chronofold-")
