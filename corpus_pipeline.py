@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import minhash, mixing, pieces, quality, suffix
-from chronofold.llm.common import Scratch
+from chronofold.llm.common import Scratch, scratch_dropped
 
 #: Jaccard similarity, in percent, from which texts are near copies. The 85 of op8 is the contract of that query alone.
 NEAR = 80
@@ -76,12 +76,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents, each written as Parquet and read again by the next; the last one's rows.
 
+    The scratch tables of a stage go when its rows are written, those rows when the next stage's are.
+
     Documents may have other columns and nulls anywhere; an empty table gives no rows.
     """
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch_dropped():  # what a stage keeps is written before its own tables go
+            kept = scratch.cut(stage(spark, docs, sf_dir))
+        scratch.drop(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
