@@ -123,22 +123,23 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(total)
 
 
-def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray | None = None, salt: int = 0) -> np.ndarray:
     """Hash of the byte ranges [start, end): every block of 8 bytes is mixed with its place in the range, then summed.
 
     Blocks go through a non-linear mixer before they are added, so no repetitive text cancels out (as it can in a polynomial
-    modulo 2^64). Where equality must be certain, ``distinct_ranges`` compares the bytes.
+    modulo 2^64). Another ``salt`` gives an independent hash. Where equality must be certain, ``distinct_ranges`` compares the bytes.
     """
     words = words_at(data) if words is None else words
     size = end - start
-    out = mix((words[start] & _HEAD[np.minimum(size, 8)]) ^ _SEEDS[0])
+    salted = U(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    out = mix((words[start] & _HEAD[np.minimum(size, 8)]) ^ _SEEDS[0] ^ salted)
     long = np.flatnonzero(size > 8)
     if len(long):
         blocks = (size[long] - 1) >> 3  # beyond the first
         place = spread(np.ones(len(long), np.int64), blocks)
         at = np.repeat(start[long], blocks) + 8 * place
         block = words[at] & _HEAD[np.minimum(np.repeat(end[long], blocks) - at, 8)]
-        mixed = mix(block ^ mix(place.astype(U) * _SEEDS[1] + _SEEDS[2]))
+        mixed = mix(block ^ mix(place.astype(U) * _SEEDS[1] + _SEEDS[2]) ^ salted)
         out[long] += np.add.reduceat(mixed, np.cumsum(blocks) - blocks)
     return mix(out + size.astype(U) * (_SEEDS[3] | U(1)))
 

@@ -13,7 +13,9 @@ earlier in the same one. Strings are judged on the input.
    within the groups that are still unsorted) and common prefixes by Kasai's walk over all runs at once.
    Neighbours with a common prefix of SIZE are equal windows; all but the first are marked.
 4. An anchor with more bytes than a shard holds is split into shards of its own by document order, and the
-   shards' sorted distinct windows are merged by binary search.
+   shards' sorted distinct windows are merged by binary search. One with ``HOT`` places or more, such as a passage that a third of
+   all documents share, is too much for a task: its windows travel one by one under 128-bit digests (a chunk sends equal ones
+   once), spread over all tasks, and meet in sorted order. There are at most (anchors / HOT) such grams; their list is sent to all.
 5. Marked spans return to their documents by (doc_id, text key) and are united.
 
 Exact copies of a document (equal MD5 of the text) are settled at once: all their windows are in the first.
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Scratch, U, chunks, distinct_ranges, gram_hashes, partitions, spread, words_at
+from chronofold.llm.common import Scratch, U, chunks, distinct_ranges, gram_hashes, partitions, range_hashes, spread, words_at
 
 SIZE, GRAM = 100, 24
 REACH = SIZE - GRAM + 1  # anchor places in a window
@@ -39,6 +41,7 @@ LANE = 64  # suffixes of a run that are walked in a row
 SHARD = 1 << 18  # bytes of a shard: its arrays fit a core's cache
 SHARDS = 4  # shards' worth of runs that are read before equal ones go
 SEND = 1 << 22  # bytes of text that go out together
+HOT = 1 << 19  # places of a gram from which its windows go one by one: about 100 MB of runs
 LAST = (1 << 63) - 1
 FOUND = "bucket int, kind int, h binary, d binary, p binary, m binary"
 RUN = "key long, doc long, own long, start int, bytes binary, kind int"
@@ -198,7 +201,7 @@ def first_windows(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, rank_
 
 
 def _find(n_buckets: int):
-    """Anchors of a chunk of texts: each gram's first place with a mark if the chunk has more; the other places directly.
+    """Anchors of a chunk of texts: each gram's first place with the number of its places in the chunk; the other places directly.
 
     A place is a text key and a position, so copies of a text count once.
     """
@@ -234,12 +237,12 @@ def _send(h: list, d: list, p: list, n_buckets: int) -> Iterator[pa.RecordBatch]
     new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
     h, d, p = h[new], d[new], p[new]
     first = np.append(True, h[1:] != h[:-1])
-    many = np.append(~first[1:], False) & first
-    repeated = ~first | many
+    many = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.int32)
+    repeated = ~first | np.repeat(many > 1, many)
     rows: list[tuple] = []
     b = (h[first] % U(n_buckets)).astype(np.int64)
     o = np.argsort(b, kind="stable")
-    fh, fd, fp, fm, b = h[first][o], d[first][o], p[first][o], many[first][o], b[o]
+    fh, fd, fp, fm, b = h[first][o], d[first][o], p[first][o], many[o], b[o]
     cut = np.searchsorted(b, np.arange(n_buckets + 1))
     for k in range(n_buckets):
         x, y = cut[k], cut[k + 1]
@@ -260,8 +263,13 @@ def _by_doc(d: np.ndarray, p: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]]), pa.array([p[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["text_key", "spans"])
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's anchors, those whose gram occurs at two places or more: positions by text."""
+def _repeated(hot: int):
+    """Of a partition's anchors, those whose gram occurs at two places or more: positions by text; and as rows without positions
+    the grams with ``hot`` places or more."""
+    return lambda batches: _repeated_of(batches, hot)
+
+
+def _repeated_of(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     h, d, p, m = [], [], [], []
     for batch in batches:
         for kind, a, b, c, e in zip(*(batch.column(n).to_pylist() for n in ("kind", "h", "d", "p", "m"))):
@@ -271,19 +279,19 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h.append(np.frombuffer(a, U))
                 d.append(np.frombuffer(b, np.int64))
                 p.append(np.frombuffer(c, np.int32))
-                m.append(np.frombuffer(e, bool))
+                m.append(np.frombuffer(e, np.int32))
     if h:
         h, d, p, m = np.concatenate(h), np.concatenate(d), np.concatenate(p), np.concatenate(m)
         o = np.argsort(h)
         keep = np.append(False, h[o][1:] == h[o][:-1])
         keep[:-1] |= keep[1:]
-        keep |= m[o]  # most grams are alone and go before the places are compared
+        keep |= m[o] > 1  # most grams are alone and go before the places are compared
         o = o[keep]
         o = o[np.lexsort((p[o], d[o], h[o]))]
         h, d, p, m = h[o], d[o], p[o], m[o]
         same = np.append(False, (h[1:] == h[:-1]) & (d[1:] == d[:-1]) & (p[1:] == p[:-1]))
         m = m.astype(np.int64)
-        if same.any():  # a copy of the text in another chunk; its mark counts
+        if same.any():  # a copy of the text in another chunk; its count is the same or more
             at = np.flatnonzero(~same)
             m = np.maximum.reduceat(m, at)
             h, d, p = h[at], d[at], p[at]
@@ -292,8 +300,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.append(True, h[1:] != h[:-1])
         group = np.cumsum(new) - 1
         twice = np.bincount(group) > 1
-        keep = twice[group] | np.bincount(group, weights=m).astype(bool)[group]
+        places = np.bincount(group, weights=m)
+        keep = twice[group] | (places > 1)[group]
         yield from _by_doc(d[keep], p[keep])
+        often = h[new][places >= hot].view(np.int64)
+        if len(often):
+            yield pa.RecordBatch.from_arrays([pa.array(often), pa.nulls(len(often), pa.binary())], names=["text_key", "spans"])
 
 
 def _ranks(doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,8 +317,35 @@ def _ranks(doc: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return rank, doc[by][new], own[by][new]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of windows whose anchor repeats, with their bytes; a chunk's later equal runs as spans at once."""
+def _runs(hot: np.ndarray):
+    """Runs of windows whose anchor repeats, with their bytes; a chunk's later equal runs as spans at once. Those of hot anchors as
+    single windows. ``hot`` is sorted."""
+    return lambda batches: _runs_of(batches, hot)
+
+
+def _rows(key, doc, own, start, texts, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(own), pa.array(start.astype(np.int32)), pa.array(texts, pa.binary()), pa.array(np.full(len(key), kind, np.int32) if np.isscalar(kind) else kind.astype(np.int32))], names=["key", "doc", "own", "start", "bytes", "kind"])
+
+
+def _single_windows(data: np.ndarray, at: np.ndarray, doc: np.ndarray, own: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Windows at positions of a chunk under their digests: the earliest of equal ones; the others as spans."""
+    h1, h2 = (range_hashes(data, at, at + SIZE, salt=x) for x in (1, 2))
+    o = np.lexsort((place, own, doc, h2, h1))
+    h1, h2, doc, own, place = h1[o], h2[o], doc[o], own[o], place[o]
+    first = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+    head = np.maximum.accumulate(np.where(first, np.arange(len(o)), 0))
+    later = ~first & ((doc != doc[head]) | (own != own[head]) | (place != place[head]))
+    yield _rows(h1[first].view(np.int64), doc[first], own[first], place[first], [x.tobytes() for x in h2[first]], 2)
+    if later.any():
+        # windows that follow each other make one span
+        o = np.lexsort((place[later], own[later], doc[later]))
+        doc, own, place = doc[later][o], own[later][o], place[later][o].astype(np.int64)
+        new = np.append(True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (place[1:] > place[:-1] + 1))
+        last = place[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)]
+        yield _rows(doc[new], doc[new], own[new], place[new], [int(b - a + SIZE).to_bytes(4, "little") for a, b in zip(place[new], last)], 1)
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, keys = batch.column("doc_id").to_numpy(), batch.column("text_key").to_numpy()
         spans = batch.column("spans").to_pylist()
@@ -339,6 +378,15 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = np.flatnonzero(tail) + SIZE
             row = np.searchsorted(offsets, start, "right") - 1
             key, doc, own, place = least[start].view(np.int64), ids[lo:hi][row], keys[lo:hi][row], (start - offsets[row]).astype(np.int32)
+            if len(hot):
+                often = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                if often.any():
+                    n_windows = (end - start - SIZE + 1)[often]
+                    at, row_of = spread(start[often], n_windows), np.repeat(row[often], n_windows)
+                    yield from _single_windows(data, at, ids[lo:hi][row_of], keys[lo:hi][row_of], at - offsets[row_of])
+                    start, end, key, doc, own, place = (x[~often] for x in (start, end, key, doc, own, place))
+                    if not len(start):
+                        continue
             # equal runs of this chunk: the earliest goes on, the others are known to repeat
             _, body, _ = distinct_ranges(data, start, end)
             o = np.lexsort((place, own, doc, body))
@@ -346,7 +394,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             later[o[1:]] = (body[o][1:] == body[o][:-1]) & ((doc[o][1:] != doc[o][:-1]) | (own[o][1:] != own[o][:-1]) | (place[o][1:] != place[o][:-1]))
             raw = data.tobytes()
             texts = [raw[s:e] if not x else int(e - s).to_bytes(4, "little") for s, e, x in zip(start.tolist(), end.tolist(), later)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(later, doc, key)), pa.array(doc), pa.array(own), pa.array(place), pa.array(texts, pa.binary()), pa.array(later.astype(np.int32))], names=["key", "doc", "own", "start", "bytes", "kind"])
+            yield _rows(np.where(later, doc, key), doc, own, place, texts, later)
 
 
 def _mark(key: np.ndarray, doc: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -442,9 +490,11 @@ def _merged(data: np.ndarray, begin: np.ndarray, counts: np.ndarray, at: np.ndar
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs in key order: shards are cut at anchor borders."""
+    """Runs in key order: shards are cut at anchor borders. Single windows in order of key, then of the corpus: of equal ones all but
+    the first are marked."""
     held: list[pa.RecordBatch] = []
     size, last = 0, None
+    open_: tuple = (None, {})  # the last key of single windows, and the place of each digest under it
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
@@ -461,6 +511,28 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.frombuffer(b"".join(settled.column("bytes").to_pylist()), "<u4")
             rank, docs, owns = _ranks(settled.column("doc").to_numpy(), settled.column("own").to_numpy())
             yield from _spans(rank, a, a + n, docs, owns)
+        single = batch.filter(pc.equal(batch.column("kind"), 2))
+        if single.num_rows:
+            key, doc, own, start = (single.column(c).to_numpy() for c in ("key", "doc", "own", "start"))
+            digest = np.frombuffer(b"".join(single.column("bytes").to_pylist()), np.int64)
+            o = np.lexsort((np.arange(len(key)), digest, key))
+            key, doc, own, start, digest = key[o], doc[o], own[o], start[o].astype(np.int64), digest[o]
+            first = np.append(True, (key[1:] != key[:-1]) | (digest[1:] != digest[:-1]))
+            head = np.flatnonzero(first)
+            place = np.stack([doc[head], own[head], start[head]])
+            known = [open_[1].get(int(x)) if k == open_[0] else None for k, x in zip(key[head].tolist(), digest[head].tolist())] if open_[0] is not None and (key == open_[0]).any() else None
+            for i, x in enumerate(known or ()):
+                if x is not None:
+                    place[:, i] = x
+            group = np.cumsum(first) - 1
+            later = (doc != place[0][group]) | (own != place[1][group]) | (start != place[2][group])
+            end_key = single.column("key")[-1].as_py()
+            mine = np.flatnonzero(key[head] == end_key)
+            fresh = {int(digest[head[i]]): tuple(place[:, i].tolist()) for i in mine}
+            open_ = (end_key, open_[1] | fresh if end_key == open_[0] else fresh)
+            if later.any():
+                rank, docs, owns = _ranks(doc[later], own[later])
+                yield from _spans(rank, start[later], start[later] + SIZE, docs, owns)
         batch = batch.filter(pc.equal(batch.column("kind"), 0))
         if not batch.num_rows:
             continue
@@ -535,11 +607,12 @@ def remove_repeats(docs: DataFrame, carry: list[str] | None = None) -> DataFrame
     copies = names.join(firsts.where("first != last").select("md5", "first"), "md5").where("doc_id != first").select("doc_id", "text_key").distinct()
     # one exchange for both passes: left joins alone and all columns in both, so that nothing is pushed below it in one of them
     texts = base.repartition("doc_id", "text_key")
-    found = base.select("text_key", "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated, PLACES)
-    places = found.groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
+    found = scratch.cut(base.select("text_key", "text").mapInArrow(_find(4 * n), FOUND).repartition(n, "bucket").mapInArrow(_repeated(HOT), PLACES))
+    hot = np.array(sorted(r.text_key for r in found.where("spans is null").collect()), np.int64)  # anchors / HOT at most
+    places = found.where("spans is not null").groupBy("text_key").agg(F.collect_list("spans").alias("spans"))  # an entry per partition and chunk
     places = places.join(firsts, "text_key").groupBy(F.col("first").alias("doc_id"), "text_key").agg(F.first("spans").alias("spans"))
-    runs = texts.join(places, ["doc_id", "text_key"], "left").select(*texts.columns, "spans").mapInArrow(_runs, RUN)
-    spans = runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_shards, SPANS)
+    runs = texts.join(places, ["doc_id", "text_key"], "left").select(*texts.columns, "spans").mapInArrow(_runs(hot), RUN)
+    spans = runs.repartition(n, "key").sortWithinPartitions("key", "doc", "own", "start").mapInArrow(_shards, SPANS)
     # spans and copy marks come together, so that the texts are joined once
     marks = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("copy")))
     gone = marks.groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"), F.max("copy").alias("copy"))

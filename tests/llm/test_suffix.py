@@ -77,3 +77,20 @@ def test_parts():
     assert all(got[i] == (0 if before[i] < 0 else common(i, before[i])) for i in range(500))
     x = rng.integers(0, 99, 200)
     assert sliding_min(x, 77).tolist() == [x[i : i + 77].min() for i in range(124)]
+
+
+@pytest.mark.parametrize("hot", [2, 30])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """Windows of anchors with many places travel one by one: the same spans, also where batches cut their groups."""
+    rows = corpus(5, 90)
+    passage = "".join(random.Random(8).choice("abcdefgh ") for _ in range(260))
+    rows += [(5000 + i, f"{i} head {i * 7} " + passage + f" tail {i}") for i in range(70)] + [(None, passage), (5000, "0 head 0 " + passage + " tail 0")]
+    monkeypatch.setattr(suffix, "HOT", hot)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = run(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = repeats([(10**9 if d is None else d, t) for d, t in rows[:-1]])
+    assert {10**9 if d is None else d: x for d, x in got.items()} == want
