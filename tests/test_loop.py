@@ -9,11 +9,12 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from chronofold import queries
 from chronofold.operators import fold
 from chronofold.operators.fold import fold_input, ordered_fold, replace_fold
 from chronofold.plans.config import Adapter, SourceConfig
 from chronofold.plans.mapping import parse_mapping
-from chronofold.plans.runner import Projector, event_report
+from chronofold.plans.runner import Projector, counters, event_report
 from chronofold.sinks.registry import default_registry, jdbc_url, tables_of
 from chronofold.sinks.store import GUARD_TABLE, JdbcSink, JsonTreeSink, SinkError, SinkRegistry, SnapshotStore, dead_letters, render_command, rows_of, type_errors, write_dead_letters
 from chronofold.sources.envelope import split_envelopes
@@ -265,3 +266,18 @@ def test_stdin_in_the_loop(spark, tmp_path):
     again = p.run_sources(store, str(tmp_path), max_batch=2, stdin=iter([*lines, line("Set", 10, "z", name="new")]))
     assert [b["position"] for b in again["batches"]] == ["000000000007"] and ("z", "new") in live(store)
     assert fold.guards(store.state()).count() == 3
+
+
+def test_a_batch_is_parsed_and_folded_once(spark, tmp_path):
+    """Outcomes and states are read from the rows that one fold wrote; scratch folders of a loop's batches go with them."""
+    p, store = queries.projector(spark, queries.MIX), SnapshotStore(spark, str(tmp_path / "s"), 2)
+    e = queries.envelopes(spark, "/root/testdata/sf0.001").where("line_no < 200")
+    batch = {}
+    out = p.commit(e, store, 0, batch=batch)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "parse_json" not in plan
+    assert {k: batch[k] for k in ("created", "updated", "deleted", "skipped", "failed")} == {k: counters(out).first()[k] for k in ("created", "updated", "deleted", "skipped", "failed")}
+    again = p.commit(e, store, 1)
+    assert out.count() == again.count()  # outcomes of the batch before stay readable
+    store.drop(batch["scratch"])
+    assert not os.path.exists(batch["scratch"])
