@@ -24,6 +24,7 @@ from chronofold.sources.stream import event_files
 from chronofold.streaming.live import run_stream, stateful_fold, use_rocksdb
 
 IN_ORDER = steps_sql().replace(ARRIVAL, "event_id")
+SORTED = 1 << 18  # rows that one task sorts for a file
 LATEST = "SELECT user_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
 
 
@@ -44,10 +45,33 @@ def written(spark, d, files: int = 1, scrambled: bool = False) -> str:
     """The events as envelope files of JSON lines, in the order of their ids by file name."""
     out = work(spark)
     e = envelopes(spark, d, scrambled).select("event_id", "event_type", "payload", "metadata", "version", F.col("sequence").cast("bigint").alias("sequence"))
-    e.repartitionByRange(files, "sequence").sortWithinPartitions("sequence").write.json(out)
+    parts = work(spark)
+    n = max(files, e.count() // SORTED + 1)  # a task sorts a part, whatever the number of files
+    e.repartitionByRange(n, "sequence").sortWithinPartitions("sequence").write.json(parts)
+    joined(spark, parts, out, files)
     return out
 
 
+def joined(spark, parts: str, out: str, files: int) -> None:
+    """The files of a folder, in name order, joined to ``files`` files: bytes are copied in a stream, whatever the size."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(out).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(path(parts)) if f.getPath().getName().startswith("part-"))
+    for i in range(files):
+        to = fs.create(path(f"{out}/part-{i:05d}.json"), False)
+        try:
+            for name in names[i * len(names) // files : (i + 1) * len(names) // files]:
+                source = fs.open(path(f"{parts}/{name}"))
+                try:
+                    jvm.org.apache.commons.io.IOUtils.copyLarge(source, to)
+                finally:
+                    source.close()
+        finally:
+            to.close()
+    fs.delete(path(parts), True)
+
+
 def long_id(df: DataFrame, *rest) -> DataFrame:
     return df.select(F.col("event_id").cast("long").alias("event_id"), *rest)
 

@@ -9,7 +9,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from chronofold import queries
+from chronofold import queries, queries_io
 from chronofold.operators import fold
 from chronofold.operators.fold import fold_input, ordered_fold, replace_fold
 from chronofold.plans.config import Adapter, SourceConfig
@@ -281,3 +281,19 @@ def test_a_batch_is_parsed_and_folded_once(spark, tmp_path):
     assert out.count() == again.count()  # outcomes of the batch before stay readable
     store.drop(batch["scratch"])
     assert not os.path.exists(batch["scratch"])
+
+
+def test_event_files_are_sorted_in_parts(spark, monkeypatch):
+    """A file of any size is sorted by many tasks and joined: lines in sequence order over the file names."""
+    monkeypatch.setattr(queries_io, "SORTED", 100)
+    spark.sparkContext.setJobGroup("written", "")
+    try:
+        folder = queries_io.written(spark, "/root/testdata/sf0.001", 2)
+        track = spark.sparkContext.statusTracker()
+        tasks = [track.getStageInfo(i).numTasks for j in track.getJobIdsForGroup("written") for i in track.getJobInfo(j).stageIds if track.getStageInfo(i)]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    names = [n for n in sorted(os.listdir(folder)) if not n.startswith(".")]
+    seqs = [json.loads(x)["sequence"] for n in names for x in open(f"{folder}/{n}")]
+    assert len(names) == 2 and seqs == sorted(seqs) and len(seqs) == queries.table(spark, "/root/testdata/sf0.001", "events").count()
+    assert max(tasks) >= len(seqs) // 100
