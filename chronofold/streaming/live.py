@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from chronofold.functions import jsonpath as J
 from chronofold.operators.decide import Entity
 from chronofold.operators.fold import ORDER
-from chronofold.plans.runner import Projector
+from chronofold.plans.runner import FailingEvents, Projector
 from chronofold.sinks.store import SnapshotStore
 from chronofold.sources.envelope import split_envelopes
 from chronofold.sources.files import numbered_stream
@@ -23,16 +24,25 @@ def run_stream(projector: Projector, path: str, store: SnapshotStore, checkpoint
     """Directory stream, in name order, into the store. The store skips a batch id that it has of this source, so a repeated micro-batch
     changes nothing. Without a DLQ a failing event or a malformed line stops the query before anything of its batch is written."""
 
+    spark, failing = projector.spark, f"batch {{}} of {source_id} has failures and there is no dead-letter folder"
+
     def each(lines: DataFrame, batch_id: int) -> None:
-        lines = lines.persist()
+        # a file is read by one task; its lines are parsed by all
+        lines = lines.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        batch: dict = {}
         try:
             events, rejects = split_envelopes(lines)
-            if not dlq and (rejects.limit(1).count() or projector.projected(events).where("failed").limit(1).count()):
-                raise RuntimeError(f"batch {batch_id} of {source_id} has failures and there is no dead-letter folder")
-            if dlq and rejects.limit(1).count():
+            bad = rejects.limit(1).count()
+            if bad and not dlq:
+                raise RuntimeError(failing.format(batch_id))
+            if bad:
                 rejects.write.mode("overwrite").json(f"{dlq}/rejects/{J.file_safe(source_id)}/{batch_id}")
-            projector.commit(events, store, batch_id, sinks, dlq, source_id, retries, ordered=True).unpersist()
+            projector.commit(events, store, batch_id, sinks, dlq, source_id, retries, batch, ordered=True, strict=not dlq)
+        except FailingEvents as e:
+            raise RuntimeError(failing.format(batch_id)) from e
         finally:
+            if "scratch" in batch:
+                store.drop(batch["scratch"])
             lines.unpersist()
 
     lines = numbered_stream(projector.spark, path, files_per_trigger, source_id, 0 if once else files_per_trigger)

@@ -297,3 +297,14 @@ def test_event_files_are_sorted_in_parts(spark, monkeypatch):
     seqs = [json.loads(x)["sequence"] for n in names for x in open(f"{folder}/{n}")]
     assert len(names) == 2 and seqs == sorted(seqs) and len(seqs) == queries.table(spark, "/root/testdata/sf0.001", "events").count()
     assert max(tasks) >= len(seqs) // 100
+
+
+def test_a_stream_projects_a_batch_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.ndjson").write_text(line("Set", 1, name="x"))
+    p, calls = Projector(spark, project_of(LIFE)), []
+    whole = p.projected
+    monkeypatch.setattr(p, "projected", lambda e: calls.append(1) or whole(e))
+    store = SnapshotStore(spark, str(tmp_path / "st"), 2)
+    run_stream(p, str(tmp_path / "in"), store, str(tmp_path / "c")).awaitTermination()
+    assert live(store) == {("u1", "x")} and len(calls) == 1
