@@ -17,6 +17,7 @@ from chronofold.plans.mapping import parse_mapping
 from chronofold.plans.runner import Projector, counters, event_report
 from chronofold.sinks.registry import default_registry, jdbc_url, tables_of
 from chronofold.sinks.store import GUARD_TABLE, JdbcSink, JsonTreeSink, SinkError, SinkRegistry, SnapshotStore, dead_letters, render_command, rows_of, type_errors, write_dead_letters
+from chronofold.sources import files
 from chronofold.sources.envelope import split_envelopes
 from chronofold.sources.files import from_rows, numbered_stream
 from chronofold.streaming.live import run_stream, stateful_fold, use_rocksdb
@@ -308,3 +309,13 @@ def test_a_stream_projects_a_batch_once(spark, tmp_path, monkeypatch):
     store = SnapshotStore(spark, str(tmp_path / "st"), 2)
     run_stream(p, str(tmp_path / "in"), store, str(tmp_path / "c")).awaitTermination()
     assert live(store) == {("u1", "x")} and len(calls) == 1
+
+
+def test_a_poll_counts_only_the_files_it_needs(spark, tmp_path, monkeypatch):
+    for i in range(1, 7):
+        (tmp_path / f"{i}.ndjson").write_text(line("Set", i, name="x"))
+    seen, whole = [], files.read_lines
+    monkeypatch.setattr(files, "read_lines", lambda s, path, *a: seen.append(len(path)) or whole(s, path, *a))
+    assert files.directory_batch(spark, str(tmp_path), None, 1)[2] == "1.ndjson" and seen == [1, 1]
+    events, _, end = files.directory_batch(spark, str(tmp_path), "1.ndjson", 4)
+    assert end == "5.ndjson" and events.count() == 4
