@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,6 +35,19 @@ def strict_json(value: Column) -> Column:
     return F.element_at(F.transform(F.array(whole), only), 1)
 
 
+def with_strict_json(df: DataFrame, value: Column, name: str, objects: bool = False) -> DataFrame:
+    """``strict_json`` of a text as a new column, parsed once a row; ``objects``: NULL for anything but an object.
+
+    Explodes of one element keep the optimizer from copying the parse, and lambdas out of the plan: it stays compiled code.
+    """
+    end, whole = F.xxhash64(value), F.col("whole_")
+    raw = df.select("*", F.explode(F.array(F.try_parse_json(F.concat(F.lit("["), value, F.lit(","), end.cast("string"), F.lit("]"))))).alias("whole_"))
+    fine = (F.try_variant_get(whole, "$[1]", "bigint") == end) & F.variant_get(whole, "$[2]", "variant").isNull()
+    if objects:  # what parses and starts with a brace is one
+        fine = F.ltrim(value, F.lit(" \t\r\n")).startswith("{") & fine
+    return raw.select("*", F.explode(F.array(F.when(fine, F.variant_get(whole, "$[0]", "variant")))).alias(name)).drop("whole_")
+
+
 def parsed_payload(payload: Column) -> Column:
     """The payload as VARIANT if it is a JSON object, else NULL."""
     object_ = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
@@ -52,8 +66,8 @@ def resolve(path: str, payload: Column, metadata: Column) -> Column:
 
 def is_scalar(v: Column) -> Column:
     """String, number or boolean; false for missing, null, object and array."""
-    kind = F.schema_of_variant(v)
-    return v.isNotNull() & ~F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY") | (kind == "VOID"), F.lit(True))
+    other = F.substring(F.schema_of_variant(v), 1, 5).isin("OBJEC", "ARRAY", "VOID")
+    return v.isNotNull() & ~F.coalesce(other, F.lit(True))
 
 
 def text(v: Column) -> Column:
@@ -80,19 +94,19 @@ def file_safe(name: str) -> str:
     return re.sub("[^A-Za-z0-9_-]", "_", name)
 
 
-def template(node, payload: Column, metadata: Column, leaves: list[Column]) -> Column:
-    """A template as VARIANT: string leaves are paths, others literals. Path columns are appended to ``leaves``."""
+def template(node, find: Callable[[str], Column], leaves: list[Column]) -> Column:
+    """A template as VARIANT: string leaves are paths that ``find`` resolves, others literals. Path columns are appended to ``leaves``."""
     if isinstance(node, dict):
         if not node:
             return F.parse_json(F.lit("{}"))
-        parts = [x for k, v in node.items() for x in (F.lit(str(k)), template(v, payload, metadata, leaves))]
+        parts = [x for k, v in node.items() for x in (F.lit(str(k)), template(v, find, leaves))]
         return F.call_function("to_variant_object", F.call_function("named_struct", *parts))
     if isinstance(node, list):
         if not node:
             return F.parse_json(F.lit("[]"))
-        return F.array(*[template(v, payload, metadata, leaves) for v in node]).cast("variant")
+        return F.array(*[template(v, find, leaves) for v in node]).cast("variant")
     if isinstance(node, str):
-        leaves.append(resolve(node, payload, metadata))
+        leaves.append(find(node))
         return leaves[-1]
     return F.parse_json(F.lit(json.dumps(node)))
 

@@ -152,10 +152,11 @@ def latest_fold(writes: DataFrame) -> DataFrame:
     Valid where every upsert is ``replace``, no delete is permanent and there are no facets. Needs
     adapter_id, target, entity_key, seq, batch_id, position, line_no, event_id, operation, body.
     """
-    # the highest sequence first, then the earliest arrival: one partial aggregation
-    order = F.struct(F.bitwise_not("seq").alias("s"), "batch_id", "position", "line_no", "event_id")
-    top = writes.groupBy(*KEY).agg(F.min_by(F.struct("seq", "event_id", "operation", "body"), order).alias("w"), F.count("*").alias("n_events"))
-    return top.select(*KEY, J.long_to_sequence(F.col("w.seq")).alias("last_sequence"), F.col("w.event_id").alias("last_event_id"), (F.col("w.operation") == "delete").alias("deleted"), F.when(F.col("w.operation") == "upsert", F.col("w.body")).alias("body"), "n_events")
+    # the highest sequence first, then the earliest arrival: one partial aggregation. Grouped by a hash first, rows are sorted by a
+    # number and not by names that all share
+    first = F.struct(F.bitwise_not("seq").alias("s"), "batch_id", "position", "line_no", "event_id", "operation", "body")
+    top = writes.groupBy(F.xxhash64(*KEY), *KEY).agg(F.min(first).alias("w"), F.count("*").alias("n_events"))
+    return top.select(*KEY, J.long_to_sequence(F.bitwise_not("w.s")).alias("last_sequence"), F.col("w.event_id").alias("last_event_id"), (F.col("w.operation") == "delete").alias("deleted"), F.when(F.col("w.operation") == "upsert", F.col("w.body")).alias("body"), "n_events")
 
 
 def replace_fold(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,22 +19,22 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def write_columns(m: Mapping, payload: Column, metadata: Column) -> dict[str, Column]:
-    """Key, body, edge ends and build error of one mapping.
+def write_columns(m: Mapping, payload: Column, find: Callable[[str], Column]) -> dict[str, Column]:
+    """Key, body, edge ends and build error of one mapping; ``find`` gives the value at a path.
 
     The body is JSON text: of the mapped columns for SQL, of the filled template for the other kinds.
     """
     leaves: list[Column] = []
     ends = F.lit(None).cast("string")
     if isinstance(m, SqlMapping):
-        values = {c: J.resolve(p, payload, metadata) for c, p in sorted(m.columns.items())}
+        values = {c: find(p) for c, p in sorted(m.columns.items())}
         ids = [values[k] for k in m.primary_key]
         leaves = list(values.values())
         key = J.json_key(ids)
         body = F.to_json(F.call_function("named_struct", *[x for c, v in values.items() for x in (F.lit(c), v)]))
     else:
         if isinstance(m, EdgeMapping):
-            ids = [J.resolve(p, payload, metadata) for p in (m.from_, m.to, m.discriminator) if p is not None]
+            ids = [find(p) for p in (m.from_, m.to, m.discriminator) if p is not None]
             texts = [J.text(x) for x in ids]
             key = F.to_json(F.array(F.lit(m.edge_type), *texts))
             ends = F.to_json(F.array(*texts[:2]))
@@ -41,9 +42,9 @@ def write_columns(m: Mapping, payload: Column, metadata: Column) -> dict[str, Co
         else:
             path = {DocumentMapping: "id", KeyValueMapping: "key", NodeMapping: "key"}[type(m)]
             template = {DocumentMapping: "document", KeyValueMapping: "value", NodeMapping: "properties"}[type(m)]
-            ids, template = [J.resolve(getattr(m, path), payload, metadata)], getattr(m, template)
+            ids, template = [find(getattr(m, path))], getattr(m, template)
             key = J.text(ids[0])
-        body = F.to_json(J.template(template or {}, payload, metadata, leaves))
+        body = F.to_json(J.template(template or {}, find, leaves))
     error = (
         F.when(payload.isNull(), F.lit("payload is no JSON object"))
         .when(_any([~J.is_scalar(x) for x in ids]), F.lit("identity is no scalar"))
@@ -56,17 +57,38 @@ NAMES = ("target", "entity_key", "facet", "operation", "mode", "permanent", "bod
 TYPES = {"permanent": "boolean", "unsupported": "boolean", "projected_version": "int"}
 
 
-def projection(mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> dict[str, Column]:
+def leaf_columns(leaves: dict[tuple[int, str], set[str]]) -> dict[str, Column]:
+    """Columns of the payload's values that ``projection`` reads: each is taken from the payload once, whatever reads it."""
+    own = lambda v, types: F.col("event_type").isin(sorted(types)) & (F.col("version") == v)
+    return {_leaf(v, path): F.when(own(v, types), J.resolve(path, F.col("parsed"), F.col("metadata"))) for (v, path), types in leaves.items()}
+
+
+def _leaf(version: int, path: str) -> str:
+    return f"leaf_{version}_{path.encode().hex()}"
+
+
+def _finder(event_type: str, m: Mapping, payload: Column, direct: bool, leaves: dict) -> Callable[[str], Column]:
+    def find(path: str) -> Column:
+        if not direct or not path.startswith("payload."):
+            return J.resolve(path, payload, F.col("metadata"))
+        leaves.setdefault((m.version, path), set()).add(event_type)
+        return F.col(_leaf(m.version, path))
+
+    return find
+
+
+def projection(mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None, leaves: dict[tuple[int, str], set[str]]) -> dict[str, Column]:
     """Columns of the write that an event makes by the mapping of its type: each is one CASE over the event types.
 
-    Reads event_type, version, metadata and ``parsed``, the payload as VARIANT. An event type without a mapping has null columns.
+    Reads event_type, version, metadata, ``parsed`` (the payload as VARIANT) and the ``leaf_columns`` of ``leaves``, to which it adds what
+    it needs. An event type without a mapping has null columns.
     """
     upcasters = upcasters or UpcasterRegistry()
     cases: dict[str, Column] = {}
     for event_type, m in mappings.items():
         here = F.col("event_type") == event_type
         payload, unsupported, why = upcasters.apply(event_type, F.col("version"), m.version, F.col("parsed"))
-        own = write_columns(m, payload, F.col("metadata"))
+        own = write_columns(m, payload, _finder(event_type, m, payload, not upcasters.sources(event_type, m.version), leaves))
         own |= {
             "target": F.lit(m.target), "facet": F.lit(m.facet or ""), "operation": F.lit(m.operation), "mode": F.lit(m.mode), "permanent": F.lit(m.permanent),
             "projected_version": F.lit(m.version), "unsupported": unsupported, "build_error": F.when(unsupported, why).otherwise(own["build_error"]),
@@ -79,7 +101,10 @@ def projection(mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None
 def project(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> DataFrame:
     """Envelope rows of mapped event types with the PROJECTED columns added. ``events`` has ``parsed``."""
     here = F.col("event_type").isin(list(mappings)) if mappings else F.lit(False)
-    return events.where(here).withColumns({"adapter_kind": F.lit(kind)} | projection(mappings, upcasters))
+    leaves: dict[tuple[int, str], set[str]] = {}
+    columns = projection(mappings, upcasters, leaves)
+    at = leaf_columns(leaves)
+    return events.where(here).withColumns(at).withColumns({"adapter_kind": F.lit(kind)} | columns).drop(*at)
 
 
 def preview(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcasters: UpcasterRegistry | None = None) -> DataFrame:
@@ -88,11 +113,8 @@ def preview(events: DataFrame, kind: str, mappings: dict[str, Mapping], upcaster
 
 
 def with_parsed(events: DataFrame) -> DataFrame:
-    """The payload parsed once for all kinds.
-
-    The explode of one element keeps the optimizer from copying the parse into every expression that reads it.
-    """
-    return events.select("*", F.explode(F.array(J.parsed_payload(F.col("payload")))).alias("parsed"))
+    """The payload parsed once for all kinds."""
+    return J.with_strict_json(events, F.col("payload"), "parsed", objects=True)
 
 
 def node_or_edge(mappings: dict[str, Mapping]) -> tuple[dict[str, NodeMapping], dict[str, EdgeMapping]]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronofold.functions import jsonpath as J
 from chronofold.model import OUTCOMES, SKIP_REASONS
 from chronofold.operators import fold, graph
-from chronofold.operators.project import node_or_edge, projection, with_parsed
+from chronofold.operators.project import leaf_columns, node_or_edge, projection, with_parsed
 from chronofold.operators.upcast import UpcasterRegistry
 from chronofold.plans.config import Project, SourceConfig
 from chronofold.plans.order import execution_order, explain
@@ -63,10 +63,6 @@ def counters(outcomes: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _has_kind(kind: str) -> Column:
-    return F.exists("route", lambda r: r["kind"] == kind)
-
-
 def route_column(routes: dict[str, list[tuple]], event_type: Column) -> Column:
     """Array of (adapter_id, kind, adapter_order) of an event type, as a literal map lookup."""
     if not routes:
@@ -89,6 +85,7 @@ class Projector:
         opaque = lambda a: "opaque" if a.kind == "custom" and self.registry.known(a.type) else a.kind  # noqa: E731  registered without a kind: no mappings
         self.broken: dict[str, str] = {}
         self._columns: dict[str, Column] = {}
+        self._leaves: dict[str, Column] = {}
         self.routes = {e: [(x, opaque(self.adapters[x]), i) for i, x in enumerate(execution_order(r, self.adapters))] for e, r in project.routes.items()}
 
     def explain(self, event_type: str) -> dict:
@@ -100,10 +97,11 @@ class Projector:
             return self._columns
         ignored = F.lit(self.project.config.migration_policy == "ignore_unmatched")
         kinds = sorted({k for r in self.routes.values() for _, k, _ in r} - {"opaque"})
-        writes = {}
+        writes: dict[str, Column] = {}
+        leaves: dict[tuple[int, str], set[str]] = {}
         for kind in kinds:
             own = self.project.mappings.of(kind) if kind != "custom" else {}
-            cols = projection(own, self.upcasters)
+            cols = projection(own, self.upcasters, leaves)
             mapped = F.col("event_type").isin(list(own)) if own else F.lit(False)
             # adapters of kinds that nobody mapped, and custom ones without a kind, fail
             cols["build_error"] = F.when(~mapped, "no mapping for the event type" if kind != "custom" else "UnregisteredAdapterType").otherwise(cols["build_error"])
@@ -114,8 +112,8 @@ class Projector:
             failed = cols["build_error"].isNotNull() & ~(F.coalesce(cols["unsupported"], F.lit(False)) & ignored)
             writes[kind] = F.struct(F.lit(kind).alias("adapter_kind"), *[c.alias(n) for n, c in cols.items()], failed.alias("failed"))
         if not writes:
-            writes["custom"] = F.struct(F.lit("custom").alias("adapter_kind"), *[c.alias(n) for n, c in projection({}).items()], F.lit("custom").alias("fold_kind"), F.lit(False).alias("failed"))
-        self._columns = writes
+            writes["custom"] = F.struct(F.lit("custom").alias("adapter_kind"), *[c.alias(n) for n, c in projection({}, None, {}).items()], F.lit("custom").alias("fold_kind"), F.lit(False).alias("failed"))
+        self._columns, self._leaves = writes, leaf_columns(leaves)
         return writes
 
     def projected(self, events: DataFrame) -> DataFrame:
@@ -123,7 +121,8 @@ class Projector:
         events = events.withColumns({"position": F.coalesce("position", F.lit("")), "line_no": F.coalesce("line_no", F.lit(0).cast("long")), "batch_id": F.coalesce("batch_id", F.lit(0).cast("long"))})
         routed = with_parsed(events.withColumn("route", route_column(self.routes, F.col("event_type"))).where(F.size("route") > 0))
         writes = self._writes()
-        out = routed.withColumns({f"w_{k}": F.when(_has_kind(k), w) for k, w in writes.items()})
+        has = lambda kind: F.col("event_type").isin([e for e, r in self.routes.items() if any(k == kind for _, k, _ in r)])
+        out = routed.withColumns(self._leaves).withColumns({f"w_{k}": F.when(has(k), w) for k, w in writes.items()})
         route = F.col("route")
         if self.project.config.failure_policy == "fail_fast" and any(len(r) > 1 for r in self.routes.values()):
             down = lambda r: r["adapter_id"].isin(list(self.broken)) if self.broken else F.lit(False)

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from chronofold import queries_io  # noqa: F401  registers its queries
+from chronofold.functions import jsonpath as J
 from chronofold.queries import QUERIES, SQL
 from tests.oracle import compare
 
@@ -19,3 +21,21 @@ def test_node_and_edge_of_one_arrival(spark, tmp_path, name):
     rows = [(1, 5, "signup"), (2, 6, "signup"), (10, 5, "error"), (10 + far, 5, "purchase"), (11, 6, "purchase"), (11 + far, 6, "error"), (12, 6, "purchase"), (12 + 2 * far, 5, "purchase")]
     spark.createDataFrame([(i, u, t, 1.0, "{}") for i, u, t in rows], "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     compare(QUERIES[name](spark, str(tmp_path)), SQL[name], str(tmp_path))
+
+
+def test_payload_values_are_taken_once(spark):
+    """A row's payload is parsed without lambdas, each of its values is taken from it once, and keys are sorted by a hash."""
+    plan = QUERIES["composite_key_rows"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    at = plan.find("lambdafunction")
+    assert at < 0, plan[max(0, at - 400) : at + 200]
+    assert plan.count("variant_get(parsed") == 3 and plan.count("Sort [_groupingexpression") == 2
+
+
+def test_strict_json_of_odd_texts(spark):
+    texts = ['{"a":1}', ' \t\r\n{"a":1} ', '{"a":1}}', '{"a":1},{"b":2}', '{"a":1},7', "[1]", '"x"', "7", "null", "", " ", "{", '{"a":1} x', '{"a":{"b":[1]}}', "{}", None, " {}", '{"a":1]']
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    shown = lambda df, c: {r.i: r.t for r in df.select("i", F.to_json(c).alias("t")).collect()}
+    both = rows.select("i", "x", J.strict_json(F.col("x")).alias("v"), J.parsed_payload(F.col("x")).alias("o"))
+    assert shown(J.with_strict_json(rows, F.col("x"), "v"), "v") == shown(both, "v")
+    objects = shown(J.with_strict_json(rows, F.col("x"), "v", objects=True), "v")
+    assert objects == shown(both, "o") and [i for i, t in objects.items() if t] == [0, 1, 13, 14]
