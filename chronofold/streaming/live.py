@@ -17,6 +17,7 @@ from chronofold.sinks.store import SnapshotStore
 from chronofold.sources.envelope import split_envelopes
 from chronofold.sources.files import numbered_stream
 
+LIVE_IN = [*ORDER, "kind", "facet", "operation", "mode", "permanent", "body"]
 LIVE_OUT = "adapter_id string, target string, entity_key string, event_id string, seq long, outcome string, reason string, live boolean, body string"
 
 
@@ -27,8 +28,7 @@ def run_stream(projector: Projector, path: str, store: SnapshotStore, checkpoint
     spark, failing = projector.spark, f"batch {{}} of {source_id} has failures and there is no dead-letter folder"
 
     def each(lines: DataFrame, batch_id: int) -> None:
-        # a file is read by one task; its lines are parsed by all
-        lines = lines.repartition(spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
         batch: dict = {}
         try:
             events, rejects = split_envelopes(lines)
@@ -57,16 +57,21 @@ class FoldProcessor(StatefulProcessor):
         self.state = handle.getValueState("entity", "lanes string, body string, aux string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
-        entity = Entity(batch["kind"].iloc[0])
+        columns = [[] for _ in LIVE_IN]
+        for part in rows:
+            for have, name in zip(columns, LIVE_IN):
+                have += part[name].tolist()
+        events = sorted(zip(*columns), key=lambda r: r[: len(ORDER)])
+        entity = Entity(events[0][len(ORDER)])
         if self.state.exists():
             entity.load(*self.state.get())
         out = []
-        for r in batch.itertuples(index=False):
-            outcome, reason = entity.step(r.operation, r.mode, r.facet or "", int(r.seq), r.event_id, bool(r.permanent), r.body)
-            out.append((*key, r.event_id, int(r.seq), outcome, reason, entity.live, entity.body))
+        for _, seq, _, _, _, event_id, _, facet, operation, mode, permanent, body in events:
+            outcome, reason = entity.step(operation, mode, facet or "", seq, event_id, bool(permanent), body)
+            out.append((event_id, seq, outcome, reason, entity.live, entity.body))
         self.state.update((entity.lanes_json(), entity.body, entity.ends_json()))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in LIVE_OUT.split(", ")])
+        names = [x.split()[0] for x in LIVE_OUT.split(", ")]
+        yield pd.DataFrame(dict(zip(names, key)) | dict(zip(names[3:], zip(*out))), columns=names)
 
     def close(self) -> None:
         pass
@@ -74,6 +79,7 @@ class FoldProcessor(StatefulProcessor):
 
 def stateful_fold(writes: DataFrame) -> DataFrame:
     """Streaming FOLD_IN rows (of ``numbered_stream`` envelopes) to one outcome row per event. Needs the RocksDB state store."""
+    writes = writes.select("adapter_id", "target", "entity_key", *LIVE_IN)
     return writes.groupBy("adapter_id", "target", "entity_key").transformWithStateInPandas(FoldProcessor(), outputStructType=LIVE_OUT, outputMode="Append", timeMode="None")
 
 

@@ -79,3 +79,14 @@ def test_stateful_stream_equals_batch(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert {(r.event_id, r.reason or r.outcome) for r in spark.table("folded").collect()} == want
+
+
+def test_lines_of_one_file_reach_several_tasks(spark, tmp_path):
+    """One task reads a file; what follows is done by all."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/1.json").write_text("".join(envelope("Reg", i, f"u{i}") + "\n" for i in range(200)))
+    got = []
+    lines = numbered_stream(spark, str(tmp_path / "in"), 1).selectExpr("line_no", "spark_partition_id() p")
+    q = lines.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.line_no for r in got) == list(range(200)) and len({r.p for r in got}) > 1
