@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +42,6 @@ class Applied:
     outcomes: DataFrame
     state: DataFrame
     unrouted: DataFrame
-    folded: list[DataFrame] = field(default_factory=list)
 
     @property
     def guards(self) -> DataFrame:
@@ -123,14 +122,15 @@ class Projector:
         writes = self._writes()
         has = lambda kind: F.col("event_type").isin([e for e, r in self.routes.items() if any(k == kind for _, k, _ in r)])
         out = routed.withColumns(self._leaves).withColumns({f"w_{k}": F.when(has(k), w) for k, w in writes.items()})
-        route = F.col("route")
+        out = out.select("*", F.explode("route").alias("r"))
         if self.project.config.failure_policy == "fail_fast" and any(len(r) > 1 for r in self.routes.values()):
-            down = lambda r: r["adapter_id"].isin(list(self.broken)) if self.broken else F.lit(False)
-            fails = lambda r: down(r) | F.coalesce(*[F.when(r["kind"] == k, F.col(f"w_{k}.failed")) for k in writes], F.lit(False))
-            first = F.array_min(F.transform(F.filter("route", fails), lambda r: r["adapter_order"]))
-            out = out.withColumn("stop", first)
-            route = F.filter("route", lambda r: F.col("stop").isNull() | (r["adapter_order"] <= F.col("stop")))
-        out = out.select("*", F.explode(route).alias("r"))
+            # after the explode: what a row's writes came to is read, not worked out again
+            fails = lambda a, k: F.lit(True) if a in self.broken else F.col(f"w_{k}.failed") if k in writes else F.lit(False)
+            stop = F.when(F.lit(False), 0)
+            for e, r in self.routes.items():
+                if r:
+                    stop = stop.when(F.col("event_type") == e, F.coalesce(*[F.when(fails(a, k), i) for a, k, i in r]))
+            out = out.where(stop.isNull() | (F.col("r.adapter_order") <= stop))
         chosen = F.coalesce(*[F.when(F.col("r.kind") == k, F.col(f"w_{k}")) for k in writes])
         out = out.select(*events.columns, F.col("r.adapter_id").alias("adapter_id"), F.col("r.adapter_order").alias("adapter_order"), chosen.alias("w")).where("w is not null").select("*", "w.*").drop("w", "payload", "metadata")
         for name, why in self.broken.items():
@@ -161,8 +161,8 @@ class Projector:
                     order[a] = max(order.get(a, 0), i)
         return sorted(order, key=lambda a: (order[a], a))
 
-    def apply(self, events: DataFrame, earlier: DataFrame | None = None, stop_early: bool = False, rows: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, instants: bool = False) -> Applied:
-        """Fold a batch onto earlier state. ``stop_early``: nothing after the first failing event in order. ``rows``: the projected events. ``keep`` stores the folded rows, which outcomes and states are read from. ``instants``: nodes and edges of one batch_id do not see each other."""
+    def apply(self, events: DataFrame, earlier: DataFrame | None = None, stop_early: bool = False, rows: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, instants: bool = False) -> Applied:
+        """Fold a batch onto earlier state. ``stop_early``: nothing after the first failing event in order. ``rows``: the projected events. ``keep`` stores the folded rows, which outcomes and states are then read from; without it each has a fold of its own, that gives no more than it needs. ``instants``: nodes and edges of one batch_id do not see each other."""
         rows = self.projected(events) if rows is None else rows
         fast = self.project.config.failure_policy == "fail_fast"
         order = F.struct("batch_id", "sequence", "position", "line_no")
@@ -172,20 +172,24 @@ class Projector:
             for name in self._may_fail_late():
                 own = fold.fold_input(rows.where(F.col("adapter_id") == name))
                 own = own if seeds is None else own.unionByName(seeds.where(F.col("adapter_id") == name))
-                parts = self._folded(own, earlier, instants)
+                parts = self._folded(own, earlier, instants, "outcome")
                 late = parts.where("row_type = 'outcome' and outcome = 'failed'").select("event_id", "batch_id", J.long_to_sequence(F.col("seq")).alias("sequence"), "position", "line_no", F.col("adapter_order").alias("stop_"))
                 late = late.groupBy(*_EVENT).agg(F.min("stop_").alias("stop_"))
                 if stop_early:
                     cut = late.agg(F.min(order).alias("cut"))
                     rows = rows.crossJoin(F.broadcast(cut)).where(F.col("cut").isNull() | (order <= F.col("cut"))).drop("cut")  # one row
-                rows = rows.join(late, _EVENT, "left").where(F.col("stop_").isNull() | (F.col("adapter_order") <= F.col("stop_"))).drop("stop_")
+                # it stops at its own place or later: rows up to there can't be cut and are not joined
+                place = min(i for r in self.routes.values() for a, _, i in r if a == name)
+                after = rows.where(F.col("adapter_order") > place).join(late, _EVENT, "left").where(F.col("stop_").isNull() | (F.col("adapter_order") <= F.col("stop_"))).drop("stop_")
+                rows = rows.where(F.col("adapter_order") <= place).unionByName(after)
         if stop_early and fast:
             cut = rows.where("failed").agg(F.min(order).alias("cut"))
             rows = rows.crossJoin(F.broadcast(cut)).where(F.col("cut").isNull() | (order <= F.col("cut"))).drop("cut")  # one row
         writes = fold.fold_input(rows)
-        both = keep(self._folded(writes if seeds is None else writes.unionByName(seeds), earlier, instants))
+        writes = writes if seeds is None else writes.unionByName(seeds)
+        events_of, states_of = [keep(self._folded(writes, earlier, instants))] * 2 if keep else [self._folded(writes, earlier, instants, x) for x in ("outcome", "state")]
         shown = F.when(F.col("kind").isin("node", "edge"), "graph").otherwise(F.col("kind"))
-        late = both.where("row_type = 'outcome'").withColumns({"sequence": J.long_to_sequence(F.col("seq")), "kind": shown, "error": F.when(F.col("outcome") == "failed", "facet body or existing body is no object")})
+        late = events_of.where("row_type = 'outcome'").withColumns({"sequence": J.long_to_sequence(F.col("seq")), "kind": shown, "error": F.when(F.col("outcome") == "failed", "facet body or existing body is no object")})
         unsupported, ignored = F.coalesce("unsupported", F.lit(False)), F.lit(self.project.config.migration_policy == "ignore_unmatched")
         early = rows.where("build_error is not null").withColumns({
             "kind": F.col("adapter_kind"), "source_version": F.col("version"), "error": F.col("build_error"),
@@ -193,9 +197,9 @@ class Projector:
         })
         outcomes = early.select(*OUTCOME).unionByName(late.select(*OUTCOME))
         routed = F.coalesce(F.size(route_column(self.routes, F.col("event_type"))), F.lit(0))
-        return Applied(outcomes, fold.states(both), events.where(routed <= 0), [both])
+        return Applied(outcomes, fold.states(states_of), events.where(routed <= 0))
 
-    def _folded(self, writes: DataFrame, earlier: DataFrame | None, instants: bool = False) -> DataFrame:
+    def _folded(self, writes: DataFrame, earlier: DataFrame | None, instants: bool = False, only: str | None = None) -> DataFrame:
         """FOLD_OUT rows of FOLD_IN rows, seeds included: closed forms by windows where there is no earlier state, the rest by the ordered fold."""
         present = {k for r in self.routes.values() for _, k, _ in r}
         plain = sorted(present & {"sql", "document", "keyvalue"})
@@ -209,7 +213,7 @@ class Projector:
                 folded.append(fold.replace_fold(mine if all_closed else mine.where(here)))
                 mine = mine.where(~here)
             if not all_closed:
-                folded.append(fold.ordered_fold(mine))
+                folded.append(fold.ordered_fold(mine, only=only))
         if "graph" in present:
             folded += graph.fold_graph(writes.where("kind = 'node'"), writes.where("kind = 'edge'"), earlier, instants)
         if not folded:

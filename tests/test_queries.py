@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from chronofold import queries_io  # noqa: F401  registers its queries
 from chronofold.functions import jsonpath as J
-from chronofold.queries import QUERIES, SQL
+from chronofold.operators.fold import fold_input, ordered_fold
+from chronofold.queries import MIX, QUERIES, REPLACE, SQL, envelopes, projector
+from chronofold.sinks.store import dead_letters
 from tests.oracle import compare
 
 D = "/root/testdata/sf0.001"
@@ -39,3 +41,19 @@ def test_strict_json_of_odd_texts(spark):
     assert shown(J.with_strict_json(rows, F.col("x"), "v"), "v") == shown(both, "v")
     objects = shown(J.with_strict_json(rows, F.col("x"), "v", objects=True), "v")
     assert objects == shown(both, "o") and [i for i, t in objects.items() if t] == [0, 1, 13, 14]
+
+
+def test_dead_letters_of_a_closed_form_run_no_fold(spark):
+    """Failures of a target that only replaces come before the fold: looking for them sorts no entity."""
+    p = projector(spark, REPLACE, failure_policy="continue_on_error")
+    e = envelopes(spark, D)
+    assert "Window [" not in dead_letters(e, p.apply(e).outcomes)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outcomes_and_states_have_folds_of_their_own(spark):
+    """A fold for outcomes builds no states; a route is cut without lambdas."""
+    out = projector(spark, MIX).apply(envelopes(spark, D, scrambled=True))
+    assert {r.row_type for r in ordered_fold(fold_input(projector(spark, MIX).projected(envelopes(spark, D))), only="outcome").select("row_type").distinct().collect()} == {"outcome"}
+    assert out.state.count() == out.outcomes.select("entity_key").distinct().count() > 0
+    plan = QUERIES["fold_failure_stops"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
