@@ -25,14 +25,17 @@ def strict_json(value: Column) -> Column:
     The parser ignores what follows a value. So the text is parsed as the first entry of an array whose second is the text's
     own hash: anything beyond the value would change the array.
     """
-    end = F.xxhash64(value)
-    whole = F.try_parse_json(F.concat(F.lit("["), value, F.lit(","), end.cast("string"), F.lit("]")))
+    # the lambda keeps the parse from being repeated
+    return F.element_at(F.transform(F.array(_with_end(value)), lambda x: F.when(_ended(x, value), F.get(x, F.lit(0)))), 1)
 
-    def only(x: Column) -> Column:  # the lambda keeps the parse from being repeated
-        fine = (F.try_variant_get(x, "$[1]", "bigint") == end) & F.variant_get(x, "$[2]", "variant").isNull()
-        return F.when(fine, F.variant_get(x, "$[0]", "variant"))
 
-    return F.element_at(F.transform(F.array(whole), only), 1)
+def _with_end(value: Column) -> Column:
+    """A text and its hash as an array of VARIANT. Its entries are read as array entries: a variant path that leads nowhere throws, row by row."""
+    return F.try_parse_json(F.concat(F.lit("["), value, F.lit(","), F.xxhash64(value).cast("string"), F.lit("]"))).cast("array<variant>")
+
+
+def _ended(whole: Column, value: Column) -> Column:
+    return (F.size(whole) == 2) & (F.get(whole, F.lit(1)).try_cast("bigint") == F.xxhash64(value))
 
 
 def with_strict_json(df: DataFrame, value: Column, name: str, objects: bool = False) -> DataFrame:
@@ -40,12 +43,12 @@ def with_strict_json(df: DataFrame, value: Column, name: str, objects: bool = Fa
 
     Explodes of one element keep the optimizer from copying the parse, and lambdas out of the plan: it stays compiled code.
     """
-    end, whole = F.xxhash64(value), F.col("whole_")
-    raw = df.select("*", F.explode(F.array(F.try_parse_json(F.concat(F.lit("["), value, F.lit(","), end.cast("string"), F.lit("]"))))).alias("whole_"))
-    fine = (F.try_variant_get(whole, "$[1]", "bigint") == end) & F.variant_get(whole, "$[2]", "variant").isNull()
+    whole = F.col("whole_")
+    raw = df.select("*", F.explode(F.array(_with_end(value))).alias("whole_"))
+    fine = _ended(whole, value)
     if objects:  # what parses and starts with a brace is one
         fine = F.ltrim(value, F.lit(" \t\r\n")).startswith("{") & fine
-    return raw.select("*", F.explode(F.array(F.when(fine, F.variant_get(whole, "$[0]", "variant")))).alias(name)).drop("whole_")
+    return raw.select("*", F.explode(F.array(F.when(fine, F.get(whole, F.lit(0))))).alias(name)).drop("whole_")
 
 
 def parsed_payload(payload: Column) -> Column:

@@ -80,7 +80,9 @@ class SnapshotStore:
 
     def _read(self, now: dict, buckets: list[int] | None = None) -> DataFrame:
         paths = [f"{self.root}/data/v{v}/bucket={b}" for b, v in now["buckets"].items() if v and (buckets is None or int(b) in buckets)]
-        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
+        if paths:
+            return self.spark.read.schema(STATE).parquet(*paths)
+        return self.spark.range(0).selectExpr(*["cast(null as {1}) {0}".format(*c.split()) for c in STATE.split(", ")])  # rows of Python start a worker a task
 
     def state(self) -> DataFrame:
         return self._read(self._pointer())

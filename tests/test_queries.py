@@ -1,11 +1,13 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronofold import queries_io  # noqa: F401  registers its queries
 from chronofold.functions import jsonpath as J
+from chronofold.operators import fold
 from chronofold.operators.fold import fold_input, ordered_fold
 from chronofold.queries import MIX, QUERIES, REPLACE, SQL, envelopes, projector
-from chronofold.sinks.store import dead_letters
+from chronofold.sinks.store import SnapshotStore, dead_letters
 from tests.oracle import compare
 
 D = "/root/testdata/sf0.001"
@@ -57,3 +59,25 @@ def test_outcomes_and_states_have_folds_of_their_own(spark):
     assert out.state.count() == out.outcomes.select("entity_key").distinct().count() > 0
     plan = QUERIES["fold_failure_stops"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_fold_reads_columns_without_arrow_scalars():
+    """What the fold takes from a batch are the values of to_pylist, of every type and with nulls, whole and sliced; only numbers with nulls go that slow way."""
+    big = -(1 << 63)
+    columns = [pa.array(x, t) for t, x in ((pa.string(), ["a", None, "", "ü"]), (pa.string(), ["1", "2", "3", "4"]), (pa.int64(), [big, 0, 7, (1 << 63) - 1]), (pa.int64(), [big, None, 7, (1 << 53) + 1]),
+                                           (pa.int32(), [1, 2, 3, 4]), (pa.bool_(), [True, False, True, True]), (pa.bool_(), [True, None, False, None]), (pa.string(), [None] * 4), (pa.large_string(), ["a", None, "b", ""]))]
+    for c in columns:
+        for x in (c, c.slice(1, 2), c.slice(0, 0)):
+            got, want = fold._values(x), x.to_pylist()
+            assert got == want and [type(v) for v in got] == [type(v) for v in want]
+
+
+def test_commit_steps_throw_and_start_nothing_by_row(spark, tmp_path):
+    """A payload's check follows no path that leads nowhere (each throws), and a new store's state is no rows of Python."""
+    plan = projector(spark, MIX).projected(envelopes(spark, D))._jdf.queryExecution().executedPlan().toString()
+    assert "variant_get(whole_" not in plan
+    state = SnapshotStore(spark, str(tmp_path / "s")).state()
+    assert state.count() == 0 and "RDD" not in state._jdf.queryExecution().optimizedPlan().toString()
+    kept = SnapshotStore(spark, str(tmp_path / "t"), 2)
+    projector(spark, MIX).commit(envelopes(spark, D), kept, 0)
+    assert state.dtypes == kept.state().dtypes
