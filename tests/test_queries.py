@@ -6,7 +6,7 @@ from chronofold import queries_io  # noqa: F401  registers its queries
 from chronofold.functions import jsonpath as J
 from chronofold.operators import fold
 from chronofold.operators.fold import fold_input, ordered_fold
-from chronofold.queries import MIX, QUERIES, REPLACE, SQL, envelopes, projector
+from chronofold.queries import ARRIVAL, MIX, QUERIES, REPLACE, SQL, envelopes, projector
 from chronofold.sinks.store import SnapshotStore, dead_letters
 from tests.oracle import compare
 
@@ -27,6 +27,17 @@ def test_node_and_edge_of_one_arrival(spark, tmp_path, name):
     compare(QUERIES[name](spark, str(tmp_path)), SQL[name], str(tmp_path))
 
 
+@pytest.mark.parametrize("name", ["decide_log", "facet_entity_absent", "skip_reason_counts", "two_adapters_of_a_kind"])
+def test_events_of_one_arrival_go_by_id(spark, tmp_path, name):
+    """The SQL leaves the order of equal arrivals open; the queries give what it gives with the smaller id first."""
+    far = 1_000_003
+    rows = [(1, 5, "signup"), (10, 5, "error"), (10 + far, 5, "purchase"), (12, 5, "view"), (12 + far, 5, "view"), (13, 6, "error"), (13 + far, 6, "signup"), (14 + far, 6, "click"), (14, 6, "click"), (20, 5, "signup"), (20 + far, 5, "error")]
+    spark.createDataFrame([(i, u, t, 1.0, "{}") for i, u, t in rows], "event_id long, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    open_, closed = f"PARTITION BY user_id ORDER BY {ARRIVAL})", f"PARTITION BY user_id ORDER BY {ARRIVAL}, event_id)"
+    assert open_ in SQL[name]
+    compare(QUERIES[name](spark, str(tmp_path)), SQL[name].replace(open_, closed), str(tmp_path))
+
+
 def test_payload_values_are_taken_once(spark):
     """A row's payload is parsed without lambdas, each of its values is taken from it once, and keys are sorted by a hash."""
     plan = QUERIES["composite_key_rows"](spark, D)._jdf.queryExecution().executedPlan().toString()
